@@ -5,10 +5,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import sys
 import unicodedata
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +14,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Fixed value: the pattern that _SAME restates.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens that a worker remembers; then it starts afresh, so memory stays bounded.
-CACHE = 400_000
-#: Longer pre-tokens are not remembered.
-CACHE_BYTES = 40
-#: Arrow rows read at once: texts may be very long.
+CACHE = 500_000
+#: Characters of text whose new pre-tokens go through one queue.
+GROUP_CHARS = 8_000_000
 _SPACES = "\t-\r \x85\xa0  -     　"
 
 
@@ -117,25 +116,17 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-def _class_of(*kinds: str) -> str:
-    out, run = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c)) in kinds
-        if inside and run is None:
-            run = c
-        elif not inside and run is not None:
-            out.append(f"\\U{run:08x}-\\U{c - 1:08x}")
-            run = None
-    return "".join(out)
+class _Odd(dict):
+    """Whether re's classes differ from the pattern's for a character: numbers that are no digits, and unassigned ones."""
 
+    def __missing__(self, c: str) -> bool:
+        self[c] = odd = unicodedata.category(c) in ("Nl", "No", "Cn", "Cs")
+        return odd
 
-@lru_cache(1)
-def _fast() -> tuple[re.Pattern, re.Pattern]:
-    """Characters on which re's classes differ from the pattern's, and the pattern in re's classes for texts without them."""
-    odd = re.compile(f"[\x1c-\x1f\ud800-\udfff{_class_of('Nl', 'No', 'Cn')}]")
-    letter, space = r"[^\W\d_]", f"[{_SPACES}]"
-    same = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?\d+| ?(?:[^\w{_SPACES}]|_)+|{space}+(?![^{_SPACES}])|{space}+")
-    return odd, same
+
+_ODD = _Odd()
+#: The pattern in re's classes, for texts without odd characters.
+_SAME = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w{_SPACES}]|_)+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
 
 
 class Codec:
@@ -147,31 +138,167 @@ class Codec:
         for t, r in self.ranks.items():
             self.tokens[r] = t
         self.exact = regex.compile(pattern)
-        self.known = self.Known(self.ranks)
-
-    class Known(dict):
-        """Pre-token to its ids as little-endian unsigned 32-bit integers."""
-
-        def __init__(self, ranks: dict[bytes, int]) -> None:
-            self.ranks = ranks
-
-        def __missing__(self, token: str) -> bytes:
-            piece = token.encode("utf-8")
-            ids = merge(piece, self.ranks)
-            out = np.array(ids, dtype="<u4").tobytes() if len(ids) > 8 else b"".join([i.to_bytes(4, "little") for i in ids])
-            if len(piece) <= CACHE_BYTES:
-                if len(self) >= CACHE:
-                    self.clear()
-                self[token] = out
-            return out
+        self.fast = _SAME if pattern == PATTERN else self.exact
+        self.known: dict[str, bytes] = {}
+        # Every pair of tokens that joins to a token, as sorted keys left * step + right.
+        get, self.step = self.ranks.get, len(self.tokens) + 1
+        pairs = {}
+        for t, r in self.ranks.items():
+            for i in range(1, len(t)):
+                left, right = get(t[:i]), get(t[i:])
+                if left is not None and right is not None:
+                    pairs[left * self.step + right] = r
+        self.keys = np.array(sorted(pairs), dtype=np.int64)
+        self.joins = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
+        self.bytes = np.array([get(bytes([i]), -1) for i in range(256)], dtype=np.int64)
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of tokens, -1 if they don't join."""
+        if not len(self.keys):
+            return np.full(len(right), -1, dtype=np.int64)
+        key = left * self.step + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.joins[at], -1)
+
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of many pre-tokens, as little-endian unsigned 32-bit, with one rank queue over all of them.
+
+        Pre-tokens don't touch, so taking a rank in all of them at once changes nothing, except where a
+        merge makes a pair of lower rank than its own; such a pre-token is done again by itself.
+        """
+        sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        n = int(ends[-1])
+        none = self.step - 1  # a token that joins nothing, at the place n
+        tok = np.append(self.bytes[np.frombuffer(b"".join(pieces), dtype=np.uint8)], none)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[ends - 1] = n
+        before[ends - sizes] = n
+        alive = np.ones(n, dtype=bool)
+        pair = np.full(n + 1, -1, dtype=np.int64)
+        pair[:n] = self.joined(tok[:n], tok[after[:n]])
+        buckets: dict[int, list[np.ndarray]] = {}
+        leaves: dict[int, int] = {}
+        top, again = 0, set()
+
+        def push(ranks: np.ndarray, places: np.ndarray) -> int:
+            up = 0
+            order = np.argsort(ranks, kind="stable")
+            ranks, places = ranks[order], places[order]
+            cut = np.flatnonzero(np.diff(ranks)) + 1
+            at = [0, *cut.tolist(), len(ranks)]
+            for r, s, e in zip(ranks[at[:-1]].tolist(), at[:-1], at[1:], strict=True):
+                held = buckets.get(r)
+                if held is None:
+                    buckets[r] = [places[s:e]]
+                    g = r >> 8
+                    leaves[g] = leaves.get(g, 0) | 1 << (r & 255)
+                    up |= 1 << g
+                else:
+                    held.append(places[s:e])
+            return up
+
+        first = np.flatnonzero(pair >= 0)
+        if len(first):
+            top = push(pair[first], first)
+        while top:
+            g = (top & -top).bit_length() - 1
+            leaf = leaves[g]
+            rank = g << 8 | (leaf & -leaf).bit_length() - 1
+            leaves[g] = leaf = leaf & (leaf - 1)
+            if not leaf:
+                top ^= 1 << g
+            held = buckets.pop(rank)
+            at = held[0] if len(held) == 1 else np.concatenate(held)
+            at = at[pair[at] == rank]  # stale entries are skipped
+            if not len(at):
+                continue
+            if len(held) > 1:
+                at = np.unique(at)
+            right = after[at]
+            if len(at) > 1 and (chain := right[:-1] == at[1:]).any():
+                # Overlapping pairs of one rank: from the left, every other one of a chain.
+                i = np.arange(len(at))
+                start = np.maximum.accumulate(np.where(np.append(True, ~chain), i, 0))
+                left_most = (i - start) % 2 == 0
+                at, right = at[left_most], right[left_most]
+            end = after[right]
+            unmerged = tok[end]
+            tok[at] = rank
+            after[at] = end
+            before[end] = at
+            alive[right] = False
+            pair[right] = -1
+            prev = before[at]
+            new_right = self.joined(tok[at], tok[end])
+            new_left = self.joined(tok[prev], tok[at])
+            pair[at] = new_right
+            pair[prev] = new_left
+            pair[n] = -1
+            moved = unmerged != tok[end]
+            if moved.any():  # the pair as it was before its right neighbour merged too
+                between = self.joined(tok[at[moved]], unmerged[moved])
+                low = at[moved][(between >= 0) & (between < rank)]
+                again.update(np.searchsorted(ends, low, side="right").tolist())
+            ranks, places = np.concatenate([new_right, new_left]), np.concatenate([at, prev])
+            ok = (ranks >= 0) & (places < n)
+            if ok.any():
+                ranks, places = ranks[ok], places[ok]
+                if ranks.min() < rank:
+                    again.update(np.searchsorted(ends, places[ranks < rank], side="right").tolist())
+                top |= push(ranks, places)
+        ids = tok[:n][alive].astype("<u4").tobytes()
+        stops = (4 * np.cumsum(np.add.reduceat(alive, ends - sizes, dtype=np.int64))).tolist()
+        out = [ids[s:e] for s, e in zip([0, *stops[:-1]], stops, strict=True)]
+        for i in again:
+            out[i] = np.array(merge(pieces[i], self.ranks), dtype="<u4").tobytes()
+        return out
 
     def split(self, text: str) -> list[str]:
-        odd, same = _fast()
-        return self.exact.findall(text) if odd.search(text) else same.findall(text)
+        if text.isascii() or not any(map(_ODD.__getitem__, set(text))):
+            return self.fast.findall(text)
+        return self.exact.findall(text)
+
+    def learn(self, new: set[str]) -> None:
+        """Remember the ids of new pre-tokens."""
+        todo, pieces, known, ranks = [], [], self.known, self.ranks
+        for t in new:
+            piece = t.encode("utf-8")
+            whole = ranks.get(piece)
+            if whole is not None:
+                known[t] = whole.to_bytes(4, "little")
+            else:
+                todo.append(t)
+                pieces.append(piece)
+        if pieces:
+            known.update(zip(todo, self.merge_many(pieces), strict=True))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text, in order; the new pre-tokens of a group of texts are merged together."""
+        group, chars = [], 0
+
+        def finish() -> Iterator[bytes]:
+            new = set().union(*group)
+            if len(self.known) + len(new) > CACHE:
+                self.known.clear()
+            new.difference_update(self.known)
+            self.learn(new)
+            known = self.known
+            for toks in group:
+                yield b"".join([known[t] for t in toks])
+            group.clear()
+
+        for text in texts:
+            group.append(self.split(text))
+            chars += len(text)
+            if chars >= GROUP_CHARS:
+                yield from finish()
+                chars = 0
+        if group:
+            yield from finish()
 
     def encode(self, text: str) -> bytes:
-        known = self.known
-        return b"".join([known[t] for t in self.split(text)])
+        return next(self.encode_all([text]))
 
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
@@ -210,8 +337,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         c = codec(*voc.value)
         for b in batches:
             n, ids, back = [], [], []
-            for t in b.column(1):
-                e = c.encode(t.as_py() or "")
+            for e in c.encode_all(t.as_py() or "" for t in b.column(1)):
                 d = c.decode(e)
                 n.append(len(e) // 4)
                 ids.append(hashlib.sha256(e).hexdigest() if digest else e)
