@@ -20,9 +20,9 @@ SYMBOLS = "#*$%&|<>"
 #: Character classes other than the first, which holds the rest: regex classes of their complements.
 CLASSES = ("^A-Z", "^0-9", f"^{SPACE}", "^.,;:!?'\"()\\-", "^#*$%&|<>@=+_/~^{}\\\\\\[\\]`", r"\x00-\x7F")
 MIN_CHARS = 200
-MIN_HITS = 10
-MAX_CLASS_DISTANCE = 0.45
-MAX_WORD_DISTANCE = 0.75
+MIN_WORDS = 100
+MAX_CLASS_DISTANCE = 0.27
+MAX_WORD_DISTANCE = 0.29
 
 
 def word_array(text: Column) -> Column:
@@ -134,8 +134,8 @@ def quality(
 
     A document that passes the base rules is dropped if its character classes, or the common words of
     its language, lie too far from the reference of that language, which is summed over all documents.
-    Guards: texts under MIN_CHARS are not judged by divergence; the word test needs MIN_HITS words for
-    each listed one to be expected. Languages without a list, and null, share the reference "other"
+    Guards: texts under MIN_CHARS are not judged by divergence, and texts under MIN_WORDS words not by
+    their common words. Languages without a list, and null, share the reference "other"
     and are judged by character classes only. Null text is empty. Repeated rows each get a row; an
     empty table gives an empty result; other columns are ignored.
     """
@@ -145,6 +145,6 @@ def quality(
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     dist = lambda a, b: js_distance(F.col(a), F.col(b))
     d = d.withColumn("class_distance", dist("class_n", "class_ref")).withColumn("word_distance", dist("word_n", "word_ref")).withColumn("base_failed", failed)
-    far = (F.col("class_distance") > max_class) | ((F.col("n_words") >= 10 * MIN_HITS) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word))
+    far = (F.col("class_distance") > max_class) | ((F.col("n_words") >= MIN_WORDS) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word))
     kept = ~F.col("base_failed") & ~((F.col("chars") >= MIN_CHARS) & F.coalesce(far, F.lit(False)))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "class_distance", "word_distance")
