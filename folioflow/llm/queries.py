@@ -20,7 +20,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"))
+    return quality.quality(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +37,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring_dedup.with_paths(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,5 +85,64 @@ WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id ROWS BETWEEN UNBOUND
 """
 
 
+OP7_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (
+  SELECT r, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM k WHERE h IN (SELECT h FROM k GROUP BY h HAVING count(*) > 1)),
+each_word AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w),
+kept AS (
+  SELECT e.r, string_agg(e.word, ' ' ORDER BY e.j) AS t
+  FROM each_word e LEFT JOIN gone g ON e.r = g.r AND e.j = g.j WHERE g.r IS NULL GROUP BY e.r),
+n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+def _quality_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    lists = " ".join(f"WHEN {quote(k)} THEN [{', '.join(map(quote, ws))}]" for k, ws in quality.COMMON_WORDS.items())
+    known = ", ".join(map(quote, quality.COMMON_WORDS))
+    special = ", ".join(f"length(regexp_replace(t, {quote(f'[{c}]+')}, '', 'g'))" for c in quality.CLASSES)
+    half = lambda a, m: f"CASE WHEN {a} > 0 THEN {a} * log2({a} / {m}) ELSE 0 END"
+
+    def distance(n: str, ref: str) -> str:
+        pairs = f"list_transform(list_zip({n}, {ref}), lambda z: [z[1] / list_sum({n})::DOUBLE, z[2] / list_sum({ref})::DOUBLE])"
+        part = f"({half('z[1]', '((z[1] + z[2]) / 2)')} + {half('z[2]', '((z[1] + z[2]) / 2)')}) / 2"
+        return f"CASE WHEN list_sum({n}) > 0 AND list_sum({ref}) > 0 THEN sqrt(greatest(0, list_sum(list_transform({pairs}, lambda z: {part})))) END"
+
+    return rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, CASE WHEN lang IN ({known}) THEN lang ELSE 'other' END AS ref, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents),
+grams AS (SELECT r, i, concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]) AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM grams) WHERE c > 1),
+covered AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY r),
+own AS (SELECT *, CASE ref {lists} END AS listed, [{special}] AS special FROM w),
+counted AS (
+  SELECT *, list_prepend(length(t) - list_sum(special), special) AS class_n, list_transform(listed, lambda x: len(list_filter(ws, lambda y: y = x))) AS hits FROM own),
+hist AS (SELECT *, list_append(hits, len(ws) - list_sum(hits)) AS word_n FROM counted),
+class_ref AS (
+  SELECT ref, list(s ORDER BY k) AS class_ref FROM (SELECT ref, k, sum(v) AS s FROM (SELECT ref, unnest(class_n) AS v, generate_subscripts(class_n, 1) AS k FROM hist) GROUP BY ref, k) GROUP BY ref),
+word_ref AS (
+  SELECT ref, list(s ORDER BY k) AS word_ref FROM (SELECT ref, k, sum(v) AS s FROM (SELECT ref, unnest(word_n) AS v, generate_subscripts(word_n, 1) AS k FROM hist) GROUP BY ref, k) GROUP BY ref),
+judged AS (
+  SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^{quality.SYMBOLS}]+', '', 'g')) AS n_symbols,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, length(t) AS chars,
+         {distance('class_n', 'class_ref')} AS class_distance, {distance('word_n', 'word_ref')} AS word_distance
+  FROM hist LEFT JOIN covered USING (r) LEFT JOIN class_ref USING (ref) LEFT JOIN word_ref USING (ref)),
+base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM judged)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (chars >= {quality.MIN_CHARS} AND (coalesce(class_distance, 0) > {quality.MAX_CLASS_DISTANCE} OR (n_words >= {quality.MIN_WORDS} AND coalesce(word_distance, 0) > {quality.MAX_WORD_DISTANCE}))) AS kept
+FROM base
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op3_quality_divergence": _quality_sql(), "op7_substring_dedup": OP7_SQL}

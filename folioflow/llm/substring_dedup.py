@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import join_classes, stash
 from .components import components
 
 WINDOW = 35
@@ -141,6 +141,7 @@ _PIECE = pa.list_(pa.struct([("hi", pa.int64()), ("lo", pa.int64()), ("start", p
 
 def _cover(k: int):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+        block = key[0].as_py()
         b = Block(docs.column("text").to_pylist(), k)
         n_docs = len(b.words)
         known = [unpack_sorted(x) for x in answers.column("repeated").to_pylist()]
@@ -182,6 +183,8 @@ def _cover(k: int):
         return pa.table(
             {
                 "doc_id": docs.column("doc_id").cast(pa.int64()),
+                "block": pa.array([block] * n_docs, pa.int32()),
+                "nth": pa.array(range(n_docs), pa.int32()),
                 "n_words": pa.array(b.sizes, pa.int64()),
                 "n_removed": pa.array(removed, pa.int64()),
                 "kept_sha256": pa.array(sha, pa.string()),
@@ -192,11 +195,12 @@ def _cover(k: int):
     return run
 
 
-_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, pieces array<struct<hi:bigint,lo:bigint,start:bigint,end:bigint>>"
+_SCHEMA = "doc_id long, block int, nth int, n_words long, n_removed long, kept_sha256 string, pieces array<struct<hi:bigint,lo:bigint,start:bigint,end:bigint>>"
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_removed, kept_sha256, pieces (hash, start, end in words).
+    """Per row of docs: doc_id, n_words, n_removed, kept_sha256, pieces (hash, start, end in words), and
+    block and nth, which number the row within this result.
 
     A word is removed if a window of k words that covers it starts anywhere else too, in the same or
     another row. Null text has no words; texts under k words lose none; repeated rows remove each
@@ -212,26 +216,43 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return d.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_cover(k), _SCHEMA)
 
 
-def paths(found: DataFrame) -> DataFrame:
+def paths(found: DataFrame, k: int = WINDOW) -> DataFrame:
     """Nonbranching paths from the result of substring_dedup, verified by source coordinates.
 
-    One row per (doc_id, path): path_hi, path_lo, start, end, copies, verified. Pieces are nodes; a
-    piece that has one successor whose only predecessor it is, in all documents, is joined to it.
-    A piece is verified if at least two sources hold it with the same length and both rolling hashes.
+    found must be a written table, as block and nth name its rows. One row per row and path: block, nth,
+    doc_id, path_hi, path_lo, start, end, copies, verified. Pieces are nodes; a piece that has one
+    successor whose only predecessor it is, over all documents, is joined to it. A path is verified in
+    a document if each piece of it there has a second source of the same length and both rolling
+    hashes; the pieces at the ends of a run, where another source goes on, are usually alone.
     """
-    seq = found.select("doc_id", F.posexplode("pieces").alias("at", "p")).select("doc_id", "at", F.struct("p.hi", "p.lo").alias("piece"), "p.start", "p.end")
-    nxt = found.select("doc_id", F.explode(F.arrays_zip(F.slice("pieces", 1, F.greatest(F.size("pieces") - 1, F.lit(0))).alias("x"), F.slice("pieces", 2, F.greatest(F.size("pieces") - 1, F.lit(0))).alias("y"))).alias("z"))
-    step = nxt.filter("z.y.start = z.x.end - %d + 1" % WINDOW).select(F.struct("z.x.hi", "z.x.lo").alias("x"), F.struct("z.y.hi", "z.y.lo").alias("y")).distinct()
+    row = ["block", "nth", "doc_id"]
+    seq = found.select(*row, F.posexplode("pieces").alias("at", "p")).select(*row, "at", F.struct("p.hi", "p.lo").alias("piece"), "p.start", "p.end")
+    n = F.greatest(F.size("pieces") - 1, F.lit(0))
+    nxt = found.select(F.explode(F.arrays_zip(F.slice("pieces", 1, n).alias("x"), F.slice("pieces", 2, n).alias("y"))).alias("z"))
+    # Neighbours of one run: the next piece's first edge follows the last edge of this one.
+    step = nxt.filter(F.col("z.y.start") == F.col("z.x.end") - k + 1).select(F.struct("z.x.hi", "z.x.lo").alias("x"), F.struct("z.y.hi", "z.y.lo").alias("y")).distinct()
     step = stash(step, "paths-steps")
     only_next = step.groupBy("x").agg(F.count(F.lit(1)).alias("out"), F.min("y").alias("y")).filter("out = 1").select("x", "y")
     only_prev = step.groupBy("y").agg(F.count(F.lit(1)).alias("inn"), F.min("x").alias("x")).filter("inn = 1").select("x", "y")
     joined = only_next.join(only_prev, ["x", "y"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
     roots = components(joined).select(F.col("node").alias("piece"), "root")
-    sources = seq.groupBy("piece").agg(F.count(F.lit(1)).alias("copies"), F.min(F.col("end") - F.col("start")).alias("short"), F.max(F.col("end") - F.col("start")).alias("long"))
+    size = F.col("end") - F.col("start")
+    sources = seq.groupBy("piece").agg(F.count(F.lit(1)).alias("copies"), F.min(size).alias("short"), F.max(size).alias("long"))
     named = sources.join(roots, "piece", "left").select("piece", F.coalesce("root", "piece").alias("path"), "copies", ((F.col("copies") > 1) & (F.col("short") == F.col("long"))).alias("verified"))
+    named = stash(named, "paths-named")
+    total = named.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     return (
-        seq.join(named, "piece")
-        .groupBy("doc_id", "path")
+        join_classes(seq, named, ["piece"], "copies", total)
+        .groupBy(*row, "path")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("copies").alias("copies"), F.min("verified").alias("verified"))
-        .select("doc_id", F.col("path.hi").alias("path_hi"), F.col("path.lo").alias("path_lo"), "start", "end", "copies", "verified")
+        .select(*row, F.col("path.hi").alias("path_hi"), F.col("path.lo").alias("path_lo"), "start", "end", "copies", "verified")
     )
+
+
+def with_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW) -> DataFrame:
+    """substring_dedup with the number of paths in each row and of those that other sources verify."""
+    found = stash(substring_dedup(docs, id_col, text_col, k), "substring-found")
+    p = paths(found, k).groupBy("block", "nth").agg(F.count(F.lit(1)).alias("n_paths"), F.count_if("verified").alias("n_verified"))
+    out = found.drop("pieces").join(p, ["block", "nth"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", zero("n_paths"), zero("n_verified"))

@@ -20,14 +20,16 @@ from pyspark.sql import functions as F
 #: Bound of the training sample: labelled rows of each class, those with the smallest id hash.
 SAMPLE_ROWS = 1500
 BUCKETS = 1 << 18
-DIM = 4
+DIM = 2
 NGRAMS = (3, 4, 5)
-ROUNDS = 60
-RATE = 0.6
+ROUNDS = 40
+RATE = 0.8
+#: Rounds until the full rate.
+WARM = 6
 #: Pull of a bucket's vector towards zero; most n-grams tell nothing and end there.
-SHRINK = 0.08
+SHRINK = 0.07
 #: Buckets in fewer sample texts are left out.
-LEAST_TEXTS = 6
+LEAST_TEXTS = 12
 SEED = 11
 #: Words that a worker remembers before it starts afresh.
 CACHE = 300_000
@@ -126,7 +128,7 @@ def train(texts: list[str | None], labels: list[int], prior: float | None = None
         for i, grad in enumerate((ge, x.T @ g, g.sum(axis=0))):
             moment[i] = 0.9 * moment[i] + 0.1 * grad
             square[i] = 0.99 * square[i] + 0.01 * grad * grad
-            rate = RATE * (1 - step / (rounds + 1))
+            rate = RATE * min(1, step / WARM) * (1 - step / (rounds + 1))
             params[i] = params[i] - rate * (moment[i] / (1 - 0.9**step)) / (np.sqrt(square[i] / (1 - 0.99**step)) + 1e-9)
         norm = np.sqrt((params[0] ** 2).sum(axis=1, keepdims=True))
         params[0] = params[0] * np.maximum(0, 1 - rate * shrink * 10 / np.maximum(norm, 1e-12))
