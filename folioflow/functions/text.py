@@ -307,8 +307,8 @@ def without_bullet(c) -> Column:
 
 
 def close_spaced_caps(c) -> Column:
-    """"C HAPTER" to "CHAPTER": a single capital before another capital that ends a word run."""
-    return F.regexp_replace(text(c), r"(?<![\w])((?:[A-Z] )*[A-Z])\s+(?=[A-Z]\b)", "$1")
+    """"A B C" to "ABC": single capitals in a row are closed up."""
+    return F.regexp_replace(text(c), r"(?U)\b([A-Z])\s+(?=[A-Z]\b)", "$1")
 
 
 def chunks(c, limit: int = MAX_CHUNK) -> Column:
@@ -428,9 +428,9 @@ def nfc(c) -> Column:
     """Unicode NFC; Spark has no built-in, so an Arrow UDF normalises the texts that are not ASCII."""
     import pandas as pd
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
+    def run(s):
         return s.str.normalize("NFC")
 
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
     t = text(c)
-    return F.when(t.rlike(r"^\p{ASCII}*$"), t).otherwise(run(t))
+    return F.when(t.rlike(r"^\p{ASCII}*$"), t).otherwise(F.pandas_udf(run, "string")(t))

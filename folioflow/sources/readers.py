@@ -102,7 +102,7 @@ def trusted(df: DataFrame, prefixes: list[str], path: str = "path") -> DataFrame
 
 
 def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    d = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    d = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
     return d.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 

@@ -17,7 +17,7 @@ def value(spark, col):
     [
         (T.norm_text, {"  A\t b\n C ": "a b c", None: "", "a b": "a b"}),
         (T.clean_spaces, {"co­op​ x": "coop x"}),
-        (T.is_equation_like, {"dx / dy": True, "multi-layer": True, "plain words": False, "": False, "a#b$c%d&e@f!g~ and more words to reach fort": False, "##$$%%&&@@!!~~ and more words here to reach": True}),
+        (T.is_equation_like, {"dx / dy": True, "multi-layer": True, "plain words": False, "": False, "a#b$c%d&e@f!g~ and more words to reach fort": True, "a#b and a longer plain text of many words": False, "##$$%%&&@@!!~~ and more words here to reach": True}),
         (T.is_reference_like, {"(iv)": True, "[3-5]": True, "12": False, "(2)": True}),
         (T.is_immutable_inline, {"•": True, "12.": True, "CNN": False, "plain words": False, "α": True}),
         (T.is_hard_protected, {"see www.x.org": True, "": True, "a b": False, "x = y": True}),

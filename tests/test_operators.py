@@ -99,7 +99,7 @@ def test_translate(spark):
 def test_rendering(spark):
     assert render.wrap("aa bb cc", 5, 2) == ["aa bb", "cc"]
     assert render.wrap("abcdefgh", 4, 2) == ["abcd", "efgh"]
-    lines, size, rest = render.fit("aa bb cc dd", 20, 20, 8)
+    lines, size, rest = render.fit("aa bb cc dd", 20, 12, 8)
     assert size < 8 and rest
     boxes = spark.createDataFrame([(1, 0, "aa bb", 10.0, "f", 0, 0, 100, 30)], f"page int, block_id long, t string, size double, font string, {BOX}")
     assert [r.t for r in render.compose(boxes, ["page"]).collect()] == ["aa bb"]
