@@ -42,8 +42,9 @@ def style_clusters(blocks: DataFrame, keys: list[str], order: str) -> DataFrame:
     class_id, occurrences, size, font, color and flags; ties rank by first appearance.
     """
     b = blocks.withColumn("size_bucket", F.bround("size").cast("int")).withColumn("color_bucket", G.color_bucket(F.col("color")))
-    key = [*keys, "semantic", "size_bucket", "b", "i", "s", "color_bucket"]
-    b = b.select("*", *[F.col(c).cast("int").alias(c[0]) for c in ("bold", "italic", "serif")])
+    flags = [f"is_{c}" for c in ("bold", "italic", "serif")]
+    key = [*keys, "semantic", "size_bucket", *flags, "color_bucket"]
+    b = b.select("*", *[F.col(c).cast("int").alias(f"is_{c}") for c in ("bold", "italic", "serif")])
     g = b.groupBy(*key).agg(F.count(F.lit(1)).alias("occurrences"), F.median("size").alias("size"), F.min(order).alias("first"))
     for c in ("font", "color"):
         g = g.join(first_mode(b, key, c, order), key)

@@ -443,13 +443,13 @@ BUCKET_SQL = "CASE color WHEN '#222222' THEN '#202020' WHEN '#101010' THEN '#000
 
 @_query(
     f"""
-WITH {SEMANTIC_SQL}, k AS (SELECT *, bold::INT AS b, italic::INT AS it, serif::INT AS s, {BUCKET_SQL} AS color_bucket FROM sb),
-g AS (SELECT doc_id, semantic, size_bucket, b, it, s, color_bucket, count(*) AS occurrences, median(size)::DOUBLE AS size, min(i) AS first FROM k GROUP BY ALL)
-SELECT doc_id, semantic, size_bucket, b, it AS i, s, color_bucket, occurrences, size, row_number() OVER (PARTITION BY doc_id ORDER BY occurrences DESC, first) AS rank FROM g"""
+WITH {SEMANTIC_SQL}, k AS (SELECT *, bold::INT AS is_bold, italic::INT AS is_italic, serif::INT AS is_serif, {BUCKET_SQL} AS color_bucket FROM sb),
+g AS (SELECT doc_id, semantic, size_bucket, is_bold, is_italic, is_serif, color_bucket, count(*) AS occurrences, median(size)::DOUBLE AS size, min(i) AS first FROM k GROUP BY ALL)
+SELECT doc_id, semantic, size_bucket, is_bold, is_italic, is_serif, color_bucket, occurrences, size, row_number() OVER (PARTITION BY doc_id ORDER BY occurrences DESC, first) AS rank FROM g"""
 )
 def style_clusters(spark, sf_dir):
     c = style.style_clusters(_style_blocks(spark, sf_dir), PAGE, "i")
-    return c.select("doc_id", "semantic", "size_bucket", "b", "i", "s", "color_bucket", "occurrences", "size", F.col("rank").cast("long").alias("rank"))
+    return c.select("doc_id", "semantic", "size_bucket", "is_bold", "is_italic", "is_serif", "color_bucket", "occurrences", "size", F.col("rank").cast("long").alias("rank"))
 
 
 @_query(f"WITH {SEMANTIC_SQL}, d AS (SELECT DISTINCT doc_id, size_bucket AS size FROM sb WHERE semantic = 'heading') SELECT * FROM (SELECT doc_id, size, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC) AS level FROM d) WHERE level <= 3")
