@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 #: Fixed value: the pattern that _SAME restates.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens that a worker remembers; then it starts afresh, so memory stays bounded.
@@ -285,7 +287,7 @@ class Codec:
             self.learn(new)
             known = self.known
             for toks in group:
-                yield b"".join([known[t] for t in toks])
+                yield b"".join(map(known.__getitem__, toks))
             group.clear()
 
         for text in texts:
@@ -344,6 +346,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 back.append(hashlib.sha256(d).hexdigest() if digest else d)
             kind = pa.string() if digest else pa.binary()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(back, kind)], names=["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"])])
+        c.known.clear()
+        release_memory()
 
     kind = "ids_sha256 string, decoded_sha256 string" if digest else "ids binary, decoded binary"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, n_tokens long, {kind}")

@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 #: Bound of the training sample: labelled rows of each class, those with the smallest id hash.
-SAMPLE_ROWS = 1500
+SAMPLE_ROWS = 1200
 BUCKETS = 1 << 18
 DIM = 2
 NGRAMS = (3, 4, 5)
@@ -89,15 +91,18 @@ def train(texts: list[str | None], labels: list[int], prior: float | None = None
     row = np.repeat(np.arange(len(bags), dtype=np.int32), sizes)
     col, val = np.concatenate([b for b, _ in bags]), np.concatenate([v for _, v in bags])
     n = len(bags)
-    often = np.bincount(col, minlength=BUCKETS)[col] >= LEAST_TEXTS
+    del bags
+    # Buckets of few texts go; the others are numbered.
+    counts = np.bincount(col, minlength=BUCKETS)
+    used = np.flatnonzero(counts >= LEAST_TEXTS)
+    number = np.full(BUCKETS, -1, dtype=np.int32)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    col = number[col]
+    often = col >= 0
     row, col, val = row[often], col[often], val[often]
-    used, col = np.unique(col, return_inverse=True)
     # One scale for all buckets puts the few telling ones of a text within reach of the step size.
     scale = float(np.median(np.maximum(1, sizes)))
-    val, col = (val * np.float32(scale)), col.astype(np.int32)
-    del bags
-    by_col = np.argsort(col, kind="stable")
-    row_c, col_c, val_c = row[by_col], col[by_col], val[by_col]
+    val = val * np.float32(scale)
     m = len(used)
     weight = np.where(y == 1, prior / rate1, (1 - prior) / (1 - rate1))
     # Every fifth text is left out of the gradient; the round with the least loss on those is kept.
@@ -124,7 +129,7 @@ def train(texts: list[str | None], labels: list[int], prior: float | None = None
             best = (loss, [q.copy() for q in params])
         g = (p - onehot) * fitted[:, None]
         gx = g @ w.T
-        ge = np.stack([np.bincount(col_c, val_c * gx[row_c, d], minlength=m) for d in range(DIM)], axis=1)
+        ge = np.stack([np.bincount(col, val * gx[row, d], minlength=m) for d in range(DIM)], axis=1)
         for i, grad in enumerate((ge, x.T @ g, g.sum(axis=0))):
             moment[i] = 0.9 * moment[i] + 0.1 * grad
             square[i] = 0.99 * square[i] + 0.01 * grad * grad
@@ -133,8 +138,10 @@ def train(texts: list[str | None], labels: list[int], prior: float | None = None
         norm = np.sqrt((params[0] ** 2).sum(axis=1, keepdims=True))
         params[0] = params[0] * np.maximum(0, 1 - rate * shrink * 10 / np.maximum(norm, 1e-12))
     params = best[1]
+    del row, col, val
     vectors = np.zeros((BUCKETS, DIM))
     vectors[used] = params[0] * scale
+    release_memory()
     return Model(vectors, params[1], params[2])
 
 
@@ -190,6 +197,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             s = [scorer.score(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+        scorer.clear()
+        release_memory()
 
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return cols.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -204,6 +213,8 @@ def keep_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
         for b in batches:
             at = b.schema.get_field_index(text_col)
             yield b.filter(pa.array([scorer.score(t.as_py()) < 0.5 for t in b.column(at)], pa.bool_()))
+        scorer.clear()
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
 
