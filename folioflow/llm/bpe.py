@@ -275,7 +275,7 @@ class Codec:
         if pieces:
             known.update(zip(todo, self.merge_many(pieces), strict=True))
 
-    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+    def encode_all(self, texts: Iterable[str], group_chars: int = GROUP_CHARS) -> Iterator[bytes]:
         """Ids of each text, in order; the new pre-tokens of a group of texts are merged together."""
         group, chars = [], 0
 
@@ -293,7 +293,7 @@ class Codec:
         for text in texts:
             group.append(self.split(text))
             chars += len(text)
-            if chars >= GROUP_CHARS:
+            if chars >= group_chars:
                 yield from finish()
                 chars = 0
         if group:
@@ -339,7 +339,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         c = codec(*voc.value)
         for b in batches:
             n, ids, back = [], [], []
-            for e in c.encode_all(t.as_py() or "" for t in b.column(1)):
+            for e in c.encode_all((t.as_py() or "" for t in b.column(1)), GROUP_CHARS // 2):
                 d = c.decode(e)
                 n.append(len(e) // 4)
                 ids.append(hashlib.sha256(e).hexdigest() if digest else e)
