@@ -29,26 +29,31 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
 
 
-def repeated_word_count(words: Column, n: Column) -> Column:
+def _place_bits(n: Column) -> Column:
+    return F.when(n < 1 << 16, 16).otherwise(30)
+
+
+def window_keys(words: Column, n: Column) -> Column:
+    """Sorted longs, one per 3-word window: hash bits above, the window's place below."""
+    key = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.call_function("shiftleft", F.xxhash64(words[i], words[i + 1], words[i + 2]), _place_bits(n)).bitwiseOR(i.cast("long")))
+    return F.when(n >= 3, F.sort_array(key))
+
+
+def repeated_word_count(words: Column, keys: Column, n: Column) -> Column:
     """Words covered by 3-word windows that occur twice or more.
 
-    Windows are compared by 128 hash bits, sorted so that equal ones are neighbours; cost n log n.
+    Windows with equal hash bits are neighbours among the sorted keys, and their words are compared.
+    The cost is n log n.
     """
-    gram = F.transform(
-        F.sequence(F.lit(0), n - 3),
-        lambda i: F.struct(
-            F.xxhash64(words[i], words[i + 1], words[i + 2]).alias("a"),
-            F.xxhash64(words[i + 2], words[i], words[i + 1], F.lit(7)).alias("b"),
-            i.alias("i"),
-        ),
-    )
-    return F.when(n >= 3, F.sort_array(gram))
+    bits, last = _place_bits(n), F.size(keys) - 1
+    mask = F.when(n < 1 << 16, (1 << 16) - 1).otherwise((1 << 30) - 1).cast("long")
 
+    def same(x: Column, y: Column) -> Column:
+        p, q = x.bitwiseAND(mask).cast("int"), y.bitwiseAND(mask).cast("int")
+        return (F.call_function("shiftright", x.bitwiseXOR(y), bits) == 0) & (words[p] == words[q]) & (words[p + 1] == words[q + 1]) & (words[p + 2] == words[q + 2])
 
-def _covered(s: Column) -> Column:
-    same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"])
-    again = F.filter(s, lambda x, j: ((j > 0) & same(x, s[F.greatest(j - 1, F.lit(0))])) | ((j < F.size(s) - 1) & same(x, s[F.least(j + 1, F.size(s) - 1)])))
-    spread = F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
+    again = F.filter(keys, lambda x, j: ((j > 0) & same(x, keys[F.greatest(j - 1, F.lit(0))])) | ((j < last) & same(x, keys[F.least(j + 1, last)])))
+    spread = F.flatten(F.transform(again, lambda x: F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: x.bitwiseAND(mask).cast("int") + k)))
     return F.coalesce(F.size(F.array_distinct(spread)), F.lit(0)).cast("long")
 
 
@@ -72,7 +77,8 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.array(*[gone(c) for c in CLASSES]).alias("special"),
         hits.alias("hits"),
-        repeated_word_count(F.col("words"), F.size("words")).alias("grams"),
+        window_keys(F.col("words"), F.size("words")).alias("keys"),
+        "words",
     )
     own = F.lit(None).cast("array<string>")
     for k, ws in COMMON_WORDS.items():
@@ -87,7 +93,7 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "chars",
         "n_symbols",
         "n_dup_lines",
-        _covered(F.col("grams")).alias("n_repeat_words"),
+        repeated_word_count(F.col("words"), F.col("keys"), F.col("n")).alias("n_repeat_words"),
         F.concat(F.array(F.col("chars") - F.aggregate("special", F.lit(0).cast("long"), lambda a, x: a + x)), F.col("special")).alias("class_n"),
         F.transform("own", count).alias("word_n"),
     )
