@@ -33,10 +33,15 @@ def _place_bits(n: Column) -> Column:
     return F.when(n < 1 << 16, 16).otherwise(30)
 
 
-def window_keys(words: Column, n: Column) -> Column:
-    """Sorted longs, one per 3-word window: hash bits above, the window's place below."""
-    key = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.call_function("shiftleft", F.xxhash64(words[i], words[i + 1], words[i + 2]), _place_bits(n)).bitwiseOR(i.cast("long")))
-    return F.when(n >= 3, F.sort_array(key))
+def window_hashes(words: Column, n: Column) -> Column:
+    """A hash for each 3-word window, in order."""
+    return F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2])))
+
+
+def window_keys(hashes: Column, n: Column) -> Column:
+    """Sorted longs, one per window: hash bits above, the window's place below; null if all hashes differ."""
+    key = F.transform(hashes, lambda h, i: F.call_function("shiftleft", h, _place_bits(n)).bitwiseOR(i.cast("long")))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(key))
 
 
 def repeated_word_count(words: Column, keys: Column, n: Column) -> Column:
@@ -54,7 +59,7 @@ def repeated_word_count(words: Column, keys: Column, n: Column) -> Column:
 
     again = F.filter(keys, lambda x, j: ((j > 0) & same(x, keys[F.greatest(j - 1, F.lit(0))])) | ((j < last) & same(x, keys[F.least(j + 1, last)])))
     spread = F.flatten(F.transform(again, lambda x: F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: x.bitwiseAND(mask).cast("int") + k)))
-    return F.coalesce(F.size(F.array_distinct(spread)), F.lit(0)).cast("long")
+    return F.when(keys.isNull(), 0).otherwise(F.size(F.array_distinct(spread))).cast("long")
 
 
 def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -77,9 +82,10 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.array(*[gone(c) for c in CLASSES]).alias("special"),
         hits.alias("hits"),
-        window_keys(F.col("words"), F.size("words")).alias("keys"),
+        window_hashes(F.col("words"), F.size("words")).alias("hashes"),
         "words",
     )
+    d = d.withColumn("keys", window_keys(F.col("hashes"), F.col("n")))
     own = F.lit(None).cast("array<string>")
     for k, ws in COMMON_WORDS.items():
         own = F.when(F.col("ref") == k, F.array(*[F.lit(w) for w in ws])).otherwise(own)
