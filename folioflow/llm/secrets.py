@@ -20,7 +20,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # leftmost and greedy, so whole runs, as runs of 24 characters or more
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_BLOB = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_-]{40,}={0,2}")
+#: Whole runs of either alphabet: a run of one can lie inside, or go over the end of, a run of the other.
+_BLOBS = (re.compile(r"[A-Za-z0-9+/]{40,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{40,}={0,2}"))
 _LONG_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
 _HEX_MAP = bytes(104 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 _BLOB_MAP = bytes(98 if chr(c).isalnum() and c < 128 or chr(c) in "+/_-" else 32 for c in range(256))
@@ -137,12 +138,13 @@ def confirmed_spans(text: str, raw: bytes) -> list[tuple[int, int, str]]:
     if b"eyJ" in raw:
         out += [(*m.span(), "jwt") for m in _JWT.finditer(text) if is_signed_token(m[0])]
     if b"b" * 40 in raw.translate(_BLOB_MAP):
-        for m in _BLOB.finditer(text):
-            data = _decode64(m[0])
-            if is_der_key(data):
-                out.append((*m.span(), "der"))
-            elif is_openssh_key(data):
-                out.append((*m.span(), "openssh"))
+        blobs = []
+        for a, b in sorted({m.span() for p in _BLOBS for m in p.finditer(text)}, key=lambda s: (s[0], -s[1])):
+            data = _decode64(text[a:b])
+            kind = "der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None
+            if kind and not any(k == kind and x <= a and b <= y for x, y, k in blobs):
+                blobs.append((a, b, kind))
+        out += blobs
         for m in _LONG_HEX.finditer(text):
             if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
                 out.append((*m.span(), "der"))

@@ -139,6 +139,32 @@ def test_secret_structures():
     assert secrets.scan("eyJabc.eyJdef.xyz " + "Z" * 60) == []
 
 
+def test_urlsafe_blobs():
+    """Keys in the url-safe alphabet whose first '-' or '_' comes late, and plain ones beside such a sign."""
+    import random
+
+    r = random.Random(7)
+    for n in (40, 60, 100, 120):
+        for _ in range(60):
+            body = bytes.fromhex("020100300506032b65700404") + bytes([n]) + r.randbytes(n)
+            body = body[:10] + b"\x04" + bytes([n]) + body[-n:]
+            der = b"\x30" + (bytes([len(body)]) if len(body) < 128 else b"\x81" + bytes([len(body)])) + body
+            assert secrets.is_der_key(der)
+            for encode in (base64.urlsafe_b64encode, base64.b64encode):
+                blob = encode(der).decode()
+                assert (2, 2 + len(blob), "der") in secrets.scan(f"x {blob} y"), blob
+            plain = base64.b64encode(der).decode()
+            assert (5, 5 + len(plain), "der") in secrets.scan(f"prod-{plain} y")
+
+
+def test_openssh_blob_once():
+    part = lambda b: len(b).to_bytes(4, "big") + b
+    raw = b"openssh-key-v1\0" + part(b"none") + part(b"none") + part(b"") + (1).to_bytes(4, "big") + part(b"k" * 30) + part(b"\xff" * 30)
+    blob = base64.urlsafe_b64encode(raw).decode()
+    assert "_" in blob[80:] and "_" not in blob[:80]
+    assert secrets.scan(f"x {blob}") == [(2, 2 + len(blob), "openssh")]
+
+
 def reference_encoding():
     import public_tokenizers as P
     import tiktoken
