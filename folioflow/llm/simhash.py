@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_classes, release_memory, stash, unstash
@@ -47,16 +47,23 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed long. With `hashed` also h, the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
         release_memory()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    if hashed:
+        cols.append(_text_hash(text_col).alias("h"))
+    return docs.select(*cols).mapInArrow(run, "doc_id long, fp long" + (", h string" if hashed else ""))
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -191,6 +198,15 @@ def links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return work.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_bucket_links, "a long, b long").distinct()
 
 
+def _rooted(fps: DataFrame, *more: Column) -> DataFrame:
+    """Per distinct fp: n, the aggregates `more`, and root, which is equal inside a component."""
+    distinct = stash(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), *more), "simhash-distinct")
+    found = stash(links(distinct), "simhash-links")
+    roots = stash(components(found).select(F.col("node").alias("fp"), "root"), "simhash-roots")
+    unstash(found)
+    return stash(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-classes")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 hex digits), component_id, component_size.
 
@@ -201,11 +217,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     fps = stash(fingerprints(docs, id_col, text_col), "simhash-fps")
     total = fps.count()
-    distinct = stash(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")), "simhash-distinct")
-    found = stash(links(distinct), "simhash-links")
-    roots = stash(components(found).select(F.col("node").alias("fp"), "root"), "simhash-roots")
-    unstash(found)
-    classes = stash(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-classes")
+    classes = _rooted(fps, F.min("doc_id").alias("low"))
     per_root = stash(classes.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("component_size"), F.count(F.lit(1)).alias("members")), "simhash-components")
     classes = join_classes(classes.select("fp", "n", "root"), per_root, ["root"], "members", total)
     classes = stash(classes.select("fp", "n", "component_id", "component_size"), "simhash-named")
@@ -214,7 +226,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each component: the one with the smallest id."""
-    best = near_dedup(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id")).distinct()
-    mine = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    return mine.join(best, "__id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns)
+    """One row of docs for each component: the one with the smallest id, nulls last, then the smallest text hash.
+
+    Equal texts are always in one component, so id and text hash name a row of one component only.
+    """
+    fps = stash(fingerprints(docs, id_col, text_col, hashed=True), "simhash-fps")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
+    best = _rooted(fps, first).groupBy("root").agg(F.min("first").alias("first"))
+    name = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit(""))
+    keys = ["__id", "__h"]
+    best = best.select(name(F.col("first.doc_id")).alias("__id"), F.col("first.h").alias("__h"))
+    mine = docs.withColumns({"__id": name(F.col(id_col)), "__h": _text_hash(text_col)})
+    return mine.join(best, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -165,6 +165,15 @@ def test_openssh_blob_once():
     assert secrets.scan(f"x {blob}") == [(2, 2 + len(blob), "openssh")]
 
 
+def test_simhash_keeps_each_component(spark):
+    """Unrelated texts without an id, or with one id, are components of their own; each leaves one row."""
+    text = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (4, text("c")), (None, None), (None, "")]
+    got = simhash.keep_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, text("a")), (None, text("b")), (4, text("c")), (7, text("d")), (7, text("e")), (None, "")]
+    assert sorted(str((r.doc_id, r.text or "")) for r in got) == sorted(map(str, want))
+
+
 def reference_encoding():
     import public_tokenizers as P
     import tiktoken
