@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Shortest repeated substring, in tokens, that counts as boilerplate.
@@ -186,14 +188,30 @@ def repeated_tokens(streams: list[list[str]], least: int = MIN_TOKENS) -> list[n
     return [covered[e - n : e - 1] for e, n in zip(ends.tolist(), sizes, strict=True)]
 
 
-def extract(pages: list[str | None], least: int = MIN_TOKENS) -> list[str]:
-    """Main text of each page of one host."""
+def windows(stream: list[str], least: int = MIN_TOKENS) -> list[bytes]:
+    """128-bit hash of each run of `least` tokens, by its start. Tokens hold no spaces."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in stream]
+    return [xxhash.xxh3_128_digest(b" ".join(raw[i : i + least])) for i in range(len(raw) - least + 1)]
+
+
+def covered_tokens(stream: list[str], repeated: set[bytes], least: int = MIN_TOKENS) -> np.ndarray:
+    """Which tokens lie in a window whose hash is in `repeated`."""
+    out = np.zeros(len(stream), dtype=bool)
+    for i, h in enumerate(windows(stream, least)):
+        if h in repeated:
+            out[i : i + least] = True
+    return out
+
+
+def extract(pages: list[str | None], least: int = MIN_TOKENS, repeated: set[bytes] | None = None) -> list[str]:
+    """Main text of each page of one host, or of a shard whose windows that the host repeats are given."""
     found = [Page(p).main() for p in pages]
     open_ = [i for i, (_, marked) in enumerate(found) if not marked]
     streams = [[w for b in found[i][0] for w in b.split(" ")] for i in open_]
     out = [" ".join(b) for b, _ in found]
-    if len(open_) > 1:
-        for i, covered in zip(open_, repeated_tokens(streams, least), strict=True):
+    if repeated is not None or len(open_) > 1:
+        all_covered = repeated_tokens(streams, least) if repeated is None else [covered_tokens(s, repeated, least) for s in streams]
+        for i, covered in zip(open_, all_covered, strict=True):
             kept, at = [], 0
             for b in found[i][0]:
                 ws = b.split(" ")
@@ -212,19 +230,39 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """page_id, url, text, n_chars per row of pages.
 
     Pages of a host meet in shards of about shard_bytes, so a host with a third of all pages is many
-    groups; a shard is enough to see a host's boilerplate. Null html is empty and gives an empty text;
+    groups. The shards of a host exchange hashes of their windows of `least` tokens, so that a passage
+    on any two of its pages is seen wherever they lie. Null html is empty and gives an empty text;
     a null or odd url belongs to the host ""; repeated rows each get a row; an empty table gives no
     rows; other columns are ignored.
     """
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     p = p.withColumn("host", _host(F.col("url")))
     large = p.groupBy("host").agg(F.ceil(F.sum(F.octet_length("html")) / shard_bytes).cast("int").alias("shards")).filter("shards > 1")
-    # Catalyst broadcasts `large` only if its size is under the session's limit.
-    p = p.join(large, "host", "left")
-    p = p.withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1))).cast("int")).drop("shards")
+    # At most one host per shard_bytes of input is large, so `large` is small and the html is not dealt for this join.
+    p = p.join(F.broadcast(large), "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    p = p.withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")).cast("int"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each distinct window of a page that marks no container."""
+        for b in batches:
+            rows, found = [], []
+            for i, source in enumerate(b.column("html")):
+                blocks, marked = Page(source.as_py()).main()
+                mine = set() if marked else set(windows([w for x in blocks for w in x.split(" ")], least))
+                rows += [i] * len(mine)
+                found += mine
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("host").take(take), b.column("shard").take(take), pa.array(found, pa.binary())], names=["host", "shard", "h"])
+
+    each = p.filter("shards > 1").select("host", "shard", "html").mapInArrow(cut, "host string, shard int, h binary")
+    each = each.groupBy("host", "shard", "h").agg(F.count(F.lit(1)).alias("n"))
+    shared = each.withColumn("n", F.sum("n").over(W.partitionBy("host", "h"))).filter("n > 1").select("host", "shard", "h")
 
-    def run(t: pa.Table) -> pa.Table:
-        texts = extract(t.column("html").to_pylist(), least)
+    def run(t: pa.Table, repeated: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return pa.table({"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string()), "text": pa.array([], pa.string()), "n_chars": pa.array([], pa.int64())})
+        known = set(repeated.column("h").to_pylist()) if t.column("shards")[0].as_py() > 1 else None
+        texts = extract(t.column("html").to_pylist(), least, known)
         return pa.table(
             {
                 "page_id": t.column("page_id"),
@@ -234,4 +272,5 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             }
         )
 
-    return p.groupBy("host", "shard").applyInArrow(run, "page_id long, url string, text string, n_chars long")
+    keys = ["host", "shard"]
+    return p.groupBy(*keys).cogroup(shared.groupBy(*keys)).applyInArrow(run, "page_id long, url string, text string, n_chars long")

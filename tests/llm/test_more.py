@@ -100,6 +100,19 @@ def test_repeats_by_brute_force():
             assert (got[i] == want).all()
 
 
+def test_pages_across_shards(spark):
+    """A passage on two pages of a host goes whether or not they lie in one shard."""
+    rows = []
+    for i in range(60):
+        shared = " ".join(f"pair{i // 2}x{k}" for k in range(9))
+        rows.append((i, "http://h/x%d" % i, f"<body><div>{shared}</div><div>own{i} text{i} of{i} page{i}</div></body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"own{i} text{i} of{i} page{i}" for i in range(60)}
+    for size in (8_000_000, 1000):
+        got = {r.page_id: r.text for r in html_extract.extract_pages(df, shard_bytes=size).collect()}
+        assert got == want
+
+
 def test_packing(spark):
     sizes = np.array([7, 5, 5, 3, 10, 1, 9])
     bins = packing.best_fit_decreasing(sizes, 10)
