@@ -66,9 +66,18 @@ def union_native(recognised: DataFrame, native: DataFrame, keys: list[str]) -> D
     return native.unionByName(drop_recognised_duplicates(recognised, native, keys), allowMissingColumns=True)
 
 
-def overlap_pairs(items: DataFrame, keys: list[str], ident: str, ratio: float = 0.25) -> DataFrame:
-    """Pairs (a, b) of items of a page that overlap by more than `ratio` of the smaller."""
-    a, b, on = _pair(items, items, keys)
+def overlap_pairs(items: DataFrame, keys: list[str], ident: str, ratio: float = 0.25, band: int | None = None) -> DataFrame:
+    """Pairs (a, b) of items of a page that overlap by more than `ratio` of the smaller.
+
+    With `band`, items meet only in the bands of that height that both touch, and a pair counts in the
+    first of them: the same pairs, without comparing all items of a page.
+    """
+    at = lambda c: F.floor(F.col(c) / F.lit(band)).cast("long")
+    if band:
+        items = items.filter("y1 > y0").withColumn("__band", F.explode(F.sequence(at("y0"), at("y1"))))
+    a, b, on = _pair(items, items, [*keys, "__band"] if band else keys)
+    if band:
+        on = on & (F.col("a.__band") == F.greatest(at("a.y0"), at("b.y0")))
     ra, rb = _rects()
     hit = on & (F.col(f"a.{ident}") < F.col(f"b.{ident}")) & (G.intersection(ra, rb) > 0) & (G.overlap(ra, rb) > ratio)
     return a.join(b, hit).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col(f"a.{ident}").alias("a"), F.col(f"b.{ident}").alias("b"), G.overlap(ra, rb).alias("ratio"))
@@ -127,18 +136,25 @@ def dedupe_words(words: DataFrame, keys: list[str], order: str = "word_id") -> D
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
         page = page.assign(__a=(page.x1 - page.x0) * (page.y1 - page.y0)).sort_values(["__a", order], ascending=[False, True], kind="stable")
-        kept, rows = [], []
+        # Accepted words by the cells they touch, as only those that meet a word can cover it.
+        wide, tall = max(1.0, (page.x1 - page.x0).mean()), max(1.0, (page.y1 - page.y0).mean())
+        grid, rows = {}, []
         for at, r in enumerate(page.itertuples(index=False)):
             box, label = (r.x0, r.y0, r.x1, r.y1), (r.label or "").lower()
             size = (r.x1 - r.x0) * (r.y1 - r.y0)
+            cells = []
+            if size == size:
+                across = range(int(r.x0 // wide), int(r.x1 // wide) + 1)
+                cells = [(x, y) for y in range(int(r.y0 // tall), int(r.y1 // tall) + 1) for x in across]
             again = False
-            for other, word in kept:
+            for other, word in (k for c in cells for k in grid.get(c, ())):
                 m = _meet(box, other)
                 if m > 0 and (size <= 0 or m / size > 0.85 and label in word):
                     again = True
                     break
             if not again:
-                kept.append((box, label))
+                for c in cells:
+                    grid.setdefault(c, []).append((box, label))
                 rows.append(at)
         return page.iloc[rows].drop(columns="__a")
 
@@ -203,10 +219,13 @@ def label_groups(labels: DataFrame, keys: list[str], ident: str, pad: float = 14
                 i = root[i]
             return i
 
-        for i in range(len(ids)):
-            for j in range(i):
+        near = []  # from top to bottom, so only boxes that still reach down to the next one are compared
+        for i in sorted(range(len(ids)), key=lambda i: boxes[i][1]):
+            near = [j for j in near if boxes[j][3] > boxes[i][1]]
+            for j in near:
                 if _meet(boxes[i], boxes[j]) > 0:
                     root[find(i)] = find(j)
+            near.append(i)
         roots = pd.Series([find(i) for i in range(len(ids))])
         low = pd.Series(ids).groupby(roots).transform("min")
         n = pd.Series(ids).groupby(roots).transform("size")

@@ -400,11 +400,18 @@ def diagram_components(spark, sf_dir):
     return g.select("doc_id", F.col("i").cast("long").alias("i"), F.col("grp").cast("long").alias("grp"))
 
 
+@_query()
+def diagram_components_whole(spark, sf_dir):
+    """diagram_components over all lines; its SQL, quadratic in a document's lines, has the first 40 only."""
+    g = spatial.label_groups(_lines(spark, sf_dir), PAGE, "i", 4.0)
+    return g.select("doc_id", F.col("i").cast("long").alias("i"), F.col("grp").cast("long").alias("grp"))
+
+
 @_query()
 def word_dedupe(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    w = views.words(docs).filter("i < 6").withColumn("word_id", F.col("i") * 100_000 + F.col("k"))
-    wide = w.filter("k % 3 = 0").withColumn("x1", F.col("x1") + 3).withColumn("word_id", F.col("word_id") + 50_000)
+    w = views.words(docs).withColumn("word_id", F.col("i").cast("long") * 100_000_000 + F.col("k"))
+    wide = w.filter("k % 3 = 0").withColumn("x1", F.col("x1") + 3).withColumn("word_id", F.col("word_id") + 50_000_000)
     return spatial.dedupe_words(w.unionByName(wide), PAGE).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -644,6 +651,18 @@ def layout_quality(spark, sf_dir):
     return layout.quality_counts(words, off, none, hits, PAGE).drop("word_overlaps")
 
 
+@_query()
+def layout_quality_whole(spark, sf_dir):
+    """layout_quality with the overlapping word pairs, which its SQL leaves out."""
+    docs = _docs(spark, sf_dir)
+    words, lines, zones = views.words(docs), views.lines(docs), views.zones(docs)
+    pages = docs.select("doc_id", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
+    off = spatial.off_page(words, pages, PAGE)
+    hits = spatial.text_image_collisions(lines, zones, pages, PAGE)
+    ids = words.withColumn("w", F.col("i").cast("long") * 100_000_000 + F.col("k"))
+    return layout.quality_counts(words, off, spatial.overlap_pairs(ids, PAGE, "w", band=32), hits, PAGE)
+
+
 @_query()
 def colors_on_white(spark, sf_dir):
     c = _table(spark, sf_dir, "customer").select("c_custkey", G.int_color(F.col("c_custkey") * 7919).alias("color"))

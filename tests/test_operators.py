@@ -1,6 +1,7 @@
 """Operators on literal tables, with expected values worked out by hand from their rules."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -177,3 +178,40 @@ def test_drop_folder(spark, tmp_path):
     q = drop_folder.process(stream, lambda d: d.select("doc_id", F.length("text").alias("n")), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).first().n == 3
+
+
+def test_whole_pages(spark, tmp_path):
+    """Lines after the sixth and the fortieth take part, and overlapping words are counted."""
+    from folioflow.operators import layout
+    from folioflow.plans import queries
+
+    text = "\n".join(f"line{i} has several words" for i in range(60))
+    spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda n: queries.QUERIES[n](spark, str(tmp_path)).collect()
+    # Of each line words 0 and 3 come twice, and the wide copy covers the word.
+    assert [r.n for r in run("word_dedupe")] == [60 * 4]
+    whole = {r.i: r.grp for r in run("diagram_components_whole")}
+    assert sorted(whole) == list(range(60)) and whole[59] == 54
+    assert {r.doc_id: (r.words, r.word_overlaps) for r in run("layout_quality_whole")} == {1: (240, 0), None: (240, 0)}
+    rng = random.Random(4)
+    boxes = [(k // 80, k, x, y, x + rng.randint(0, 60), y + rng.randint(0, 90), rng.choice(("a", "ab", "b"))) for k in range(160) for x, y in [(rng.randint(-50, 200), rng.randint(-50, 200))]]
+    df = spark.createDataFrame(boxes, "doc_id long, word_id long, x0 long, y0 long, x1 long, y1 long, label string")
+    plain, banded = (sorted(map(tuple, spatial.overlap_pairs(df, ["doc_id"], "word_id", band=b).collect())) for b in (None, 32))
+    assert banded == plain and plain
+    counts = layout.quality_counts(df, df.limit(0), spatial.overlap_pairs(df, ["doc_id"], "word_id", band=32), df.limit(0), ["doc_id"])
+    assert {r.doc_id: r.word_overlaps for r in counts.collect()}[None] == len(plain)
+    want = []
+    for d in (0, 1):
+        kept = []
+        for b in sorted((b for b in boxes if b[0] == d), key=lambda b: (-(b[4] - b[2]) * (b[5] - b[3]), b[1])):
+            size = (b[4] - b[2]) * (b[5] - b[3])
+            if not any((m := spatial._meet(b[2:6], k[2:6])) > 0 and m / size > 0.85 and b[6] in k[6] for k in kept):
+                kept.append(b)
+        want += [k[1] for k in kept]
+    got = [r.word_id for r in spatial.dedupe_words(df, ["doc_id"]).collect()]
+    assert sorted(got) == sorted(want) and len(got) < 160
+    top = {r.word_id: r.grp for r in spatial.label_groups(df, ["doc_id"], "word_id", 4.0).collect()}
+    for d in (0, 1):
+        mine = [(b[1], (b[2] - 4, b[3] - 4, b[4] + 4, b[5] + 4)) for b in boxes if b[0] == d]
+        for i, a in mine:
+            assert all(top[i] == top[j] or min(sum(v == g for v in top.values()) for g in (top[i], top[j])) == 1 for j, b in mine if spatial._meet(a, b) > 0)
