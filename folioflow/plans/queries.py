@@ -556,11 +556,22 @@ def translation_quality(spark, sf_dir):
     return d.select("doc_id", F.col("q.score").cast("long").alias("score"), F.array_join("q.flags", ",").alias("flags"), F.col("q.status").alias("status"))
 
 
+@_query()
+def translation_quality_whole(spark, sf_dir):
+    """Quality of every pair of neighbouring sentences; translation_quality and its SQL take the first pair of a document."""
+    u = T.sentences("text")
+    d = _docs(spark, sf_dir).select("doc_id", "lang", u.alias("u")).filter(F.size("u") >= 2)
+    pairs = F.arrays_zip(F.slice("u", 1, F.size("u") - 1).alias("source"), F.slice("u", 2, F.size("u") - 1).alias("translation"))
+    d = d.select("doc_id", "lang", F.posexplode(pairs).alias("at", "p"))
+    role = F.when(F.col("doc_id") % 5 == 0, "header").otherwise("body")
+    d = d.select("doc_id", F.col("at").cast("long").alias("at"), L.quality("p.source", "p.translation", role, F.col("lang")).alias("q"))
+    return d.select("doc_id", "at", F.col("q.score").cast("long").alias("score"), F.array_join("q.flags", ",").alias("flags"), F.col("q.status").alias("status"))
+
+
 @_query()
 def staged_translation(spark, sf_dir):
-    u = F.explode(F.slice(T.sentences("text"), 1, 3))
-    items = _docs(spark, sf_dir).select("doc_id", u.alias("t")).withColumn("id", F.xxhash64("doc_id", "t"))
-    items = items.select("id", "t", F.lit("body").alias("role"), F.lit("general").alias("domain"), F.lit("").alias("subdomain"), F.lit("en").alias("src"), F.lit("fr").alias("tgt")).dropDuplicates(["id"])
+    items = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences("text")).alias("at", "t")).withColumn("id", F.concat_ws(":", "doc_id", "at", F.md5("t")))
+    items = items.select("id", "t", F.lit("body").alias("role"), F.lit("general").alias("domain"), F.lit("").alias("subdomain"), F.lit("en").alias("src"), F.lit("fr").alias("tgt"))
     none = spark.createDataFrame([], glossary.SCHEMA)
     out = translate.translate(items, none)
     return out.groupBy("stage", "status").agg(F.count(F.lit(1)).alias("n"))

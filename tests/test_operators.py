@@ -215,3 +215,17 @@ def test_whole_pages(spark, tmp_path):
         mine = [(b[1], (b[2] - 4, b[3] - 4, b[4] + 4, b[5] + 4)) for b in boxes if b[0] == d]
         for i, a in mine:
             assert all(top[i] == top[j] or min(sum(v == g for v in top.values()) for g in (top[i], top[j])) == 1 for j, b in mine if spatial._meet(a, b) > 0)
+
+
+def test_all_sentences(spark, tmp_path):
+    """Sentences after the third are translated, and every pair of neighbours is scored."""
+    from folioflow.plans import queries
+
+    rows = [(1, " ".join(f"This is the sentence number {i} of a text." for i in range(9)), "en"), (2, "Only one sentence is here.", "en"), (3, "Said twice here. Said twice here.", "en"), (4, None, "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda n: queries.QUERIES[n](spark, str(tmp_path)).collect()
+    assert sum(r.n for r in run("staged_translation")) == 12
+    pairs = run("translation_quality_whole")
+    assert sorted((r.doc_id, r.at) for r in pairs) == [(1, i) for i in range(8)] + [(3, 0)]
+    first = {r.doc_id: (r.score, r.flags, r.status) for r in run("translation_quality")}
+    assert {r.doc_id: (r.score, r.flags, r.status) for r in pairs if r.at == 0} == first
