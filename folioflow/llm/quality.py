@@ -29,37 +29,36 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
 
 
-def _place_bits(n: Column) -> Column:
-    return F.when(n < 1 << 16, 16).otherwise(30)
-
-
 def window_hashes(words: Column, n: Column) -> Column:
     """A hash for each 3-word window, in order."""
     return F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2])))
 
 
-def window_keys(hashes: Column, n: Column) -> Column:
-    """Sorted longs, one per window: hash bits above, the window's place below; null if all hashes differ."""
-    key = F.transform(hashes, lambda h, i: F.call_function("shiftleft", h, _place_bits(n)).bitwiseOR(i.cast("long")))
+def window_keys(hashes: Column) -> Column:
+    """Sorted longs, one per window: 32 hash bits above, the window's place below; null if all hashes differ."""
+    key = F.transform(hashes, lambda h, i: F.call_function("shiftleft", h, F.lit(32)).bitwiseOR(i.cast("long")))
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(key))
 
 
-def repeated_word_count(words: Column, keys: Column, n: Column) -> Column:
-    """Words covered by 3-word windows that occur twice or more.
+def suspects(keys: Column) -> Column:
+    """Places of the windows that share their hash bits with another: all repeated windows, and chance collisions."""
+    last = F.size(keys) - 1
+    bits = lambda x: F.call_function("shiftright", x, F.lit(32))
+    near = lambda x, j: ((j > 0) & (bits(x) == bits(keys[F.greatest(j - 1, F.lit(0))]))) | ((j < last) & (bits(x) == bits(keys[F.least(j + 1, last)])))
+    return F.transform(F.filter(keys, near), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
 
-    Windows with equal hash bits are neighbours among the sorted keys, and their words are compared.
-    The cost is n log n.
-    """
-    bits, last = _place_bits(n), F.size(keys) - 1
-    mask = F.when(n < 1 << 16, (1 << 16) - 1).otherwise((1 << 30) - 1).cast("long")
 
-    def same(x: Column, y: Column) -> Column:
-        p, q = x.bitwiseAND(mask).cast("int"), y.bitwiseAND(mask).cast("int")
-        return (F.call_function("shiftright", x.bitwiseXOR(y), bits) == 0) & (words[p] == words[q]) & (words[p + 1] == words[q + 1]) & (words[p + 2] == words[q + 2])
+def sorted_windows(words: Column, places: Column) -> Column:
+    """The words of the windows at `places`, sorted, each with its place. Words hold no spaces."""
+    return F.sort_array(F.transform(places, lambda p: F.struct(F.concat_ws(" ", words[p], words[p + 1], words[p + 2]).alias("g"), p.alias("p"))))
+
 
-    again = F.filter(keys, lambda x, j: ((j > 0) & same(x, keys[F.greatest(j - 1, F.lit(0))])) | ((j < last) & same(x, keys[F.least(j + 1, last)])))
-    spread = F.flatten(F.transform(again, lambda x: F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: x.bitwiseAND(mask).cast("int") + k)))
-    return F.when(keys.isNull(), 0).otherwise(F.size(F.array_distinct(spread))).cast("long")
+def repeated_word_count(windows: Column) -> Column:
+    """Words covered by windows that occur twice or more: neighbours in `windows` with equal words."""
+    last = F.size(windows) - 1
+    same = lambda x, j: ((j > 0) & (x["g"] == windows[F.greatest(j - 1, F.lit(0))]["g"])) | ((j < last) & (x["g"] == windows[F.least(j + 1, last)]["g"]))
+    spread = F.flatten(F.transform(F.filter(windows, same), lambda x: F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: x["p"] + k)))
+    return F.when(windows.isNull(), 0).otherwise(F.size(F.array_distinct(spread))).cast("long")
 
 
 def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -85,7 +84,8 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         window_hashes(F.col("words"), F.size("words")).alias("hashes"),
         "words",
     )
-    d = d.withColumn("keys", window_keys(F.col("hashes"), F.col("n")))
+    d = d.withColumn("keys", window_keys(F.col("hashes"))).withColumn("places", suspects(F.col("keys")))
+    d = d.withColumn("windows", sorted_windows(F.col("words"), F.col("places")))
     own = F.lit(None).cast("array<string>")
     for k, ws in COMMON_WORDS.items():
         own = F.when(F.col("ref") == k, F.array(*[F.lit(w) for w in ws])).otherwise(own)
@@ -99,7 +99,7 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "chars",
         "n_symbols",
         "n_dup_lines",
-        repeated_word_count(F.col("words"), F.col("keys"), F.col("n")).alias("n_repeat_words"),
+        repeated_word_count(F.col("windows")).alias("n_repeat_words"),
         F.concat(F.array(F.col("chars") - F.aggregate("special", F.lit(0).cast("long"), lambda a, x: a + x)), F.col("special")).alias("class_n"),
         F.transform("own", count).alias("word_n"),
     )

@@ -223,3 +223,28 @@ def test_oracles(spark):
         cols = sorted(got.columns)
         want = con.sql(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall()
         assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select(*cols).collect()), name
+
+
+def test_quality_long_texts(spark):
+    """Repeats are found at any length, whatever windows lie between two equal ones in hash order."""
+    import random
+
+    r = random.Random(9)
+    fresh = iter(range(10**9))
+    filler = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    texts = ["one two three " + " ".join(filler(n)) + " one two three" for n in (60_003, 66_003, 199_994)]
+    texts.append(" ".join(r.choice("abcdefghij") for _ in range(70_000)))
+    frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {x.doc_id: x.n_repeat_words for x in quality.quality(frame).collect()}
+    assert got == {i: brute.quality(t)[4] for i, t in enumerate(texts)} and got[0] == got[1] == got[2] == 6
+
+
+def test_quality_hash_collisions(spark, monkeypatch):
+    """With every window in one hash class the words alone decide."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(quality, "window_hashes", lambda words, n: F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: (i % 2).cast("long"))))
+    texts = ["a b c x d e f y a b c z d e f", "a b c d e f g h i j", "q q q q q", "a b"]
+    frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {x.doc_id: x.n_repeat_words for x in quality.quality(frame).collect()}
+    assert got == {i: brute.quality(t)[4] for i, t in enumerate(texts)}
