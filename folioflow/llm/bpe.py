@@ -127,8 +127,12 @@ class _Odd(dict):
 
 
 _ODD = _Odd()
+_REST = rf"'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\w{_SPACES}]|_)+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 #: The pattern in re's classes, for texts without odd characters.
-_SAME = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w{_SPACES}]|_)+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
+_SAME = re.compile(rf" ?[^\W\d_]+|{_REST}")
+#: Spaces, letters and numbers below U+0100: plain ranges are faster than classes.
+_S, _L, _N = "\t-\r \x85\xa0", "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_LATIN = re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
 class Codec:
@@ -153,6 +157,8 @@ class Codec:
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.joins = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
         self.bytes = np.array([get(bytes([i]), -1) for i in range(256)], dtype=np.int64)
+        # Rank of each pair of bytes.
+        self.byte_pairs = self.joined(np.repeat(self.bytes, 256), np.tile(self.bytes, 256)).reshape(256, 256)
 
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of tokens, -1 if they don't join."""
@@ -172,13 +178,15 @@ class Codec:
         ends = np.cumsum(sizes)
         n = int(ends[-1])
         none = self.step - 1  # a token that joins nothing, at the place n
-        tok = np.append(self.bytes[np.frombuffer(b"".join(pieces), dtype=np.uint8)], none)
+        raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        tok = np.append(self.bytes[raw], none)
         after, before = np.arange(1, n + 2), np.arange(-1, n)
         after[ends - 1] = n
         before[ends - sizes] = n
         alive = np.ones(n, dtype=bool)
         pair = np.full(n + 1, -1, dtype=np.int64)
-        pair[:n] = self.joined(tok[:n], tok[after[:n]])
+        pair[: n - 1] = self.byte_pairs[raw[:-1], raw[1:]]
+        pair[ends - 1] = -1
         buckets: dict[int, list[np.ndarray]] = {}
         leaves: dict[int, int] = {}
         top, again = 0, set()
@@ -256,26 +264,78 @@ class Codec:
             out[i] = np.array(merge(pieces[i], self.ranks), dtype="<u4").tobytes()
         return out
 
+    def merge_rounds(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of many short pre-tokens: those of one length form a matrix, and each round merges every
+        row's lowest pair, the leftmost of equal ranks. For callers that need ids, not the rank queue."""
+        out: list[bytes] = [b""] * len(pieces)
+        sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+        top = np.iinfo(np.int64).max
+        for size in np.unique(sizes).tolist():
+            who = np.flatnonzero(sizes == size)
+            raw = np.frombuffer(b"".join([pieces[i] for i in who.tolist()]), dtype=np.uint8).reshape(-1, size)
+            tok = self.bytes[raw]
+            rank = self.byte_pairs[raw[:, :-1], raw[:, 1:]]
+            rank[rank < 0] = top
+            while True:
+                width = tok.shape[1]
+                at = rank.argmin(axis=1) if width > 1 else np.zeros(len(who), dtype=np.int64)
+                row = np.arange(len(who))
+                low = rank[row, at] if width > 1 else np.full(len(who), top)
+                done = low == top
+                if done.any():
+                    blob, wide = tok[done].astype("<u4").tobytes(), 4 * width
+                    for k, i in enumerate(who[done].tolist()):
+                        out[i] = blob[k * wide : (k + 1) * wide]
+                    go = ~done
+                    who, tok, rank, at, low = who[go], tok[go], rank[go], at[go], low[go]
+                    row = np.arange(len(who))
+                if not len(who):
+                    break
+                after = np.arange(width - 1) + (np.arange(width - 1) > at[:, None])
+                tok = np.take_along_axis(tok, after, axis=1)
+                tok[row, at] = low
+                if width == 2:
+                    rank = rank[:, :0]
+                    continue
+                gone = np.arange(width - 2) + (np.arange(width - 2) >= at[:, None])
+                rank = np.take_along_axis(rank, gone, axis=1)
+                left = np.flatnonzero(at > 0)
+                right = np.flatnonzero(at < width - 2)
+                for rows, first in ((left, at[left] - 1), (right, at[right])):
+                    r = self.joined(tok[rows, first], tok[rows, first + 1])
+                    rank[rows, first] = np.where(r < 0, top, r)
+        return out
+
     def split(self, text: str) -> list[str]:
-        if text.isascii() or not any(map(_ODD.__getitem__, set(text))):
-            return self.fast.findall(text)
+        if self.fast is _SAME:
+            try:
+                text.encode("latin-1")
+                return _LATIN.findall(text)
+            except UnicodeEncodeError:
+                if not any(map(_ODD.__getitem__, set(text))):
+                    return _SAME.findall(text)
         return self.exact.findall(text)
 
-    def learn(self, new: set[str]) -> None:
-        """Remember the ids of new pre-tokens."""
-        todo, pieces, known, ranks = [], [], self.known, self.ranks
+    def learn(self, new: set[str], short: int = 0) -> None:
+        """Remember the ids of new pre-tokens; those of up to `short` bytes don't go through the rank queue."""
+        known, get = self.known, self.ranks.get
+        few: tuple[list[str], list[bytes]] = ([], [])
+        many: tuple[list[str], list[bytes]] = ([], [])
         for t in new:
             piece = t.encode("utf-8")
-            whole = ranks.get(piece)
+            whole = get(piece)
             if whole is not None:
                 known[t] = whole.to_bytes(4, "little")
             else:
-                todo.append(t)
+                names, pieces = few if len(piece) <= short else many
+                names.append(t)
                 pieces.append(piece)
-        if pieces:
-            known.update(zip(todo, self.merge_many(pieces), strict=True))
+        if few[0]:
+            known.update(zip(few[0], self.merge_rounds(few[1]), strict=True))
+        if many[0]:
+            known.update(zip(many[0], self.merge_many(many[1]), strict=True))
 
-    def encode_all(self, texts: Iterable[str], group_chars: int = GROUP_CHARS) -> Iterator[bytes]:
+    def encode_all(self, texts: Iterable[str], group_chars: int = GROUP_CHARS, short: int = 0) -> Iterator[bytes]:
         """Ids of each text, in order; the new pre-tokens of a group of texts are merged together."""
         group, chars = [], 0
 
@@ -284,7 +344,7 @@ class Codec:
             if len(self.known) + len(new) > CACHE:
                 self.known.clear()
             new.difference_update(self.known)
-            self.learn(new)
+            self.learn(new, short)
             known = self.known
             for toks in group:
                 yield b"".join(map(known.__getitem__, toks))

@@ -195,9 +195,21 @@ def test_bpe(docs, rows, edge, empty):
     assert bpe.encode(empty).collect() == []
 
 
+def merge_parts(piece, ranks):
+    """Plain byte-pair merging, also of a pre-token that is a token itself."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not pairs:
+            return [ranks[p] for p in parts]
+        _, i = min(pairs)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
 def test_bpe_texts():
     import random
 
+    import numpy as np
     import public_tokenizers as P
 
     enc, c = reference_encoding(), bpe.Codec(open(P.path("byte_bpe_50k.tiktoken"), "rb").read(), P.PATTERN)
@@ -208,6 +220,13 @@ def test_bpe_texts():
         ids = enc.encode_ordinary(t)
         assert [int.from_bytes(c.encode(t)[i : i + 4], "little") for i in range(0, 4 * len(ids), 4)] == ids, repr(t)
         assert c.decode(c.encode(t)) == t.encode()
+    latin = "".join(map(chr, range(256))) + " " * 40 + "abcDE019'sre" * 8
+    for k in range(400):
+        t = "".join(r.choice(latin) for _ in range(r.randint(0, 80)))
+        ids = enc.encode_ordinary(t)
+        assert [int.from_bytes(c.encode(t)[i : i + 4], "little") for i in range(0, 4 * len(ids), 4)] == ids, repr(t)
+    pieces = [bytes(r.choice(b"abcdehinorst \xc3\xa9\x00") for _ in range(r.randint(1, 40))) for _ in range(3000)] + [b"aaaa", b"a" * 31, b"abab" * 8]
+    assert c.merge_rounds(pieces) == c.merge_many(pieces) == [np.array(merge_parts(p, c.ranks), "<u4").tobytes() for p in pieces]
     for piece in (b"a" * 5000, b"ab" * 3000, bytes(r.choice(b"abcdehinorst") for _ in range(20000))):
         assert bpe.merge(piece, c.ranks) == enc.encode_ordinary(piece.decode())
 

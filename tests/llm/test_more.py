@@ -136,6 +136,43 @@ def test_packing(spark):
     assert sorted(map(str, rows)) == sorted(map(str, packing.pack_documents(docs.repartition(5), length=64).collect()))
 
 
+def plain_best_fit(sizes, length):
+    """Best fit decreasing by looking at every open bin."""
+    bins, room, filled = [], [], []
+    for clock, i in enumerate(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))):
+        fits = [(room[b], -filled[b], b) for b in range(len(bins)) if room[b] >= sizes[i]]
+        if not fits:
+            bins.append([])
+            room.append(length)
+            filled.append(clock)
+        b = min(fits)[2] if fits else len(bins) - 1
+        bins[b].append(i)
+        room[b] -= int(sizes[i])
+        filled[b] = clock
+    return bins
+
+
+def test_best_fit_by_brute_force():
+    r = np.random.default_rng(4)
+    for length in (1, 2, 7, 10, 64, 100):
+        for n in (0, 1, 5, 60, 300):
+            sizes = r.integers(1, length + 1, n)
+            assert packing.best_fit_decreasing(sizes, length) == plain_best_fit(sizes, length)
+    assert packing.best_fit_decreasing(np.array([4, 4, 4, 4]), 8) == [[0, 1], [2, 3]]
+
+
+def test_packed_files(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text number {i} " * (i % 7)) for i in range(40)], "doc_id long, text string")
+    packed = packing.pack_documents(docs, length=32)
+    packing.save(packed, str(tmp_path / "packed"))
+    rows = spark.read.parquet(str(tmp_path / "packed")).collect()
+    want = packed.collect()
+    assert sorted(map(str, rows)) == sorted(map(str, want))
+    m = packing.matrix(rows)
+    assert m.shape == (len(want), 32) and int(m.sum()) == int(packing.matrix(want).sum())
+    assert sum(r.n_tokens for r in rows) == sum(r.n_tokens for r in bpe.encode(docs).collect())
+
+
 def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
