@@ -31,6 +31,34 @@ def test_substring_edges(spark):
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(df, block_bytes=500).collect()), key=key)
     assert got == sorted(brute.repeats(rows), key=key)
     assert substring_dedup.substring_dedup(df.limit(0)).collect() == []
+    assert substring_dedup.with_paths(df.limit(0)).collect() == []
+
+
+def test_substrings_under_collisions(spark):
+    """With hashes of a few bits nearly every window is a candidate; the words decide."""
+    r = np.random.default_rng(6)
+    passage = [f"p{i}" for i in range(90)]
+    rows = []
+    for i in range(30):
+        own = [f"d{i}w{j}" for j in range(int(r.integers(0, 120)))]
+        cut = int(r.integers(0, len(own) + 1))
+        a, z = sorted(r.integers(0, 91, 2).tolist())
+        rows.append((i, " ".join(own[:cut] + passage[a:z] * (i % 3 > 0) + own[cut:])))
+    rows.append((99, "a b " * 60))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(brute.repeats(rows))
+    assert any(x[2] for x in want) and not all(x[2] for x in want)
+    for bits, size in ((3, 12_000_000), (3, 2_000), (12, 2_000), (64, 2_000)):
+        got = substring_dedup.with_paths(df, block_bytes=size, bits=bits).collect()
+        assert want == sorted((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got), (bits, size)
+
+
+def test_long_text_repeats(spark):
+    """A text of 150,000 words that has a passage twice, and a copy of its end elsewhere."""
+    w = [f"w{i}" for i in range(150_000)]
+    rows = [(1, " ".join(w + w[:60])), (2, " ".join(w[-100:])), (3, "z")]
+    got = substring_dedup.with_paths(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.n_removed) for x in got) == [(1, 60 + 60 + 100), (2, 100), (3, 0)]
 
 
 def test_paths(spark):
@@ -38,7 +66,7 @@ def test_paths(spark):
     df = spark.createDataFrame([(1, f"{a} {b}"), (2, f"{a} {c}"), (3, f"{c} {b}")], "doc_id long, text string")
     found = substring_dedup.substring_dedup(df)
     p = substring_dedup.paths(found).collect()
-    assert p and all(r.copies >= 1 and r.end - r.start >= 35 for r in p)
+    assert p and all(r.copies >= 1 and all(x.end - x.start >= 35 for x in r.spans) for r in p)
     spans = defaultdict(set)
     for r in p:
         if r.verified:
