@@ -267,3 +267,20 @@ def test_quality_hash_collisions(spark, monkeypatch):
     frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     got = {x.doc_id: x.n_repeat_words for x in quality.quality(frame).collect()}
     assert got == {i: brute.quality(t)[4] for i, t in enumerate(texts)}
+
+
+def test_secrets_of_long_texts():
+    """Texts of some MB that start many candidates and end none."""
+    import time
+
+    der = bytes.fromhex("3012020100300506032b65700406040401020304")
+    key = base64.b64encode(der + b"").decode()
+    n = 60_000
+    crafted = ["-----BEGIN RSA PRIVATE KEY-----\n" * n, "eyJa" * 20 * n, "eyJa." * 10 * n, "token " * 10 * n, "AKIA" * 20 * n, "0" * 40 * n, "a+/" * 20 * n, "password" + " " * 40 * n]
+    for x in crafted:
+        began = time.process_time()
+        secrets.scan(x)
+        assert time.process_time() - began < 5, x[:20]
+    pem = f"-----BEGIN PRIVATE KEY-----\n{key}\n-----END PRIVATE KEY-----"
+    assert [(a, b) for a, b, k in secrets.scan("-----BEGIN EC PRIVATE KEY-----\n" + pem + pem) if k == "pem"] == [(31, 31 + len(pem)), (31 + len(pem), 31 + 2 * len(pem))]
+    assert secrets.scan("-----BEGIN EC PRIVATE KEY-----\n" + key + "\n-----END PRIVATE KEY-----") == []
