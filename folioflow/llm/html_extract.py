@@ -1,14 +1,18 @@
-"""Main text of web pages: page structure, and a host suffix array for text that structure leaves open.
-
-Text inside a marked article is kept by contract even where pages repeat it, so repetition alone
-can't decide there. Text outside any marked container is boilerplate if a suffix array over the
-token streams of the host's pages finds it in a long substring that another page has too.
+"""Main text of web pages: a host suffix array over all text outside articles, guarded by page structure.
+
+The visible text outside a page's article (menus, footers, adverts, unmarked blocks) of all pages of a
+host is one token stream with separators. A long substring that another page has too is boilerplate
+and its tokens go. Structure then guards both ways: an article is kept by contract even where pages
+repeat it, so it is not part of the stream; and of the runs that are unique to a page, those that
+stand in marked boilerplate or beside an article go too. So on a page that marks no article the
+suffix array alone decides what of the unmarked text stays.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +40,12 @@ _CHROME_WORDS = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|sidebar|side|ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|breadcrumbs?|comments?|commentlist|disqus|replies|respond|footer|header|masthead|topbar|toolbar|pagination|pager|skip|widget|search|complementary|contentinfo)(?=$|[\s_-])"
 )
 _MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story)[_-]?(?:body|content|text)(?=$|[\s_-])")
-_RAW = re.compile(r"</(script|style|textarea|title|noscript|iframe|template|svg|math)\s*>", re.I)
+#: Elements whose content is skipped to their end tag.
+RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math")
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _TAG = re.compile(r"""<(?:!--(?:.*?)(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)(?:>|\Z))""", re.S)
+#: For the rest of a page with an unbalanced quote: a tag ends at the next angle bracket.
+_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)")
 _ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?=[\s=/]|\Z)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -61,30 +69,49 @@ def _marked(name: str, attrs: str) -> tuple[bool, bool]:
     return chrome and not main, main
 
 
+CHROME_LEVEL = -1
+
+
 class Page:
-    """Blocks of a page in order: (text, inside an article or main container)."""
+    """Blocks of a page in order: (text, level). Levels: 2 in an article, 1 in the main element, 0 unmarked, -1 marked as boilerplate."""
 
     def __init__(self, source: str | None) -> None:
         self.blocks: list[tuple[str, int]] = []
         self._parts: list[str] = []
-        self._depth = 0
-        # Open elements: name, closes a silent or boilerplate part, level of container (2 article, 1 main).
-        stack: list[tuple[str, bool, int]] = []
-        shut = level = 0
-        text, at = source or "", 0
+        self._side: list[str] = []
+        # Open elements: name, silent, boilerplate; and how many of each name are open.
+        stack: list[tuple[str, bool, bool]] = []
+        opened: Counter[str] = Counter()
+        silent = shut = 0
         levels = [0]
+        text, at, tag = source or "", 0, _TAG
+        unclosed: set[str] = set()
+
+        def pop() -> str:
+            nonlocal silent, shut
+            e = stack.pop()
+            opened[e[0]] -= 1
+            silent -= e[1]
+            shut -= e[2]
+            levels.pop()
+            return e[0]
+
         while at < len(text):
             lt = text.find("<", at)
             if lt < 0:
                 lt = len(text)
-            if lt > at and not shut:
-                self._parts.append(text[at:lt])
+            if lt > at and not silent:
+                (self._side if shut else self._parts).append(text[at:lt])
             if lt == len(text):
                 break
-            m = _TAG.match(text, lt)
+            m = tag.match(text, lt)
+            if not m and tag is _TAG and (m := _LOOSE_TAG.match(text, lt)):
+                tag = _LOOSE_TAG
+            if not m and tag is _LOOSE_TAG and text[lt + 1 : lt + 2] in ("!", "?"):
+                m = _TAG.match(text, lt)
             if not m:
-                if not shut:
-                    self._parts.append("<")
+                if not silent:
+                    (self._side if shut else self._parts).append("<")
                 at = lt + 1
                 continue
             at = m.end()
@@ -94,20 +121,14 @@ class Page:
             if name in BLOCKS:
                 self._flush(levels[-1])
             if m[1]:
-                if any(e[0] == name for e in stack):
-                    while True:
-                        e = stack.pop()
-                        shut -= e[1]
-                        levels.pop()
-                        if e[0] == name:
-                            break
+                if opened[name]:
+                    while pop() != name:
+                        pass
                 continue
             if name in VOID or m[3].endswith("/") and name not in BLOCKS:
                 continue
             if name in ("p", "li", "td", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
-                e = stack.pop()
-                shut -= e[1]
-                levels.pop()
+                pop()
             chrome, main = _marked(name, m[3])
             level = levels[-1]
             if name == "article" or main:
@@ -115,28 +136,42 @@ class Page:
             elif name == "main":
                 level = max(level, 1)
             # The header of an article holds its title; any other is the page's.
-            closed = name in SILENT or chrome or name in CHROME and not (name == "header" and level == 2)
-            stack.append((name, closed, level))
+            hidden = name in SILENT
+            closed = not hidden and (chrome or name in CHROME and not (name == "header" and level == 2))
+            stack.append((name, hidden, closed))
+            opened[name] += 1
             levels.append(level)
+            silent += hidden
             shut += closed
-            if name in SILENT and (end := _RAW.search(text, at)) and name in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math"):
-                while end and end[1].lower() != name:
-                    end = _RAW.search(text, end.end())
-                at = end.start() if end else len(text)
+            if name in RAW and name not in unclosed:
+                end = _RAW_END[name].search(text, at)
+                if end:
+                    at = end.start()
+                else:
+                    unclosed.add(name)
         self._flush(levels[-1])
 
     def _flush(self, level: int) -> None:
-        if self._parts:
-            t = _SPACE.sub(" ", html.unescape("".join(self._parts))).strip()
-            self._parts = []
-            if t:
-                self.blocks.append((t, level))
+        for parts, lv in ((self._parts, level), (self._side, CHROME_LEVEL)):
+            if parts:
+                t = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+                parts.clear()
+                if t:
+                    self.blocks.append((t, lv))
 
     def main(self) -> tuple[list[str], bool]:
         """The blocks of the innermost kind of container that the page marks, and whether it marks one."""
-        top = max((lv for _, lv in self.blocks), default=0)
+        top = self.top()
         return [t for t, lv in self.blocks if lv == top], top > 0
 
+    def top(self) -> int:
+        return max((lv for _, lv in self.blocks if lv >= 0), default=0)
+
+    def outside(self) -> list[str]:
+        """Tokens of the visible text outside the page's article; of a page without one, all tokens."""
+        top = self.top()
+        return [w for t, lv in self.blocks if lv < top or top == 0 for w in t.split(" ")]
+
 
 def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes sorted by their first `depth` tokens at least, and each suffix's rank; by prefix doubling."""
@@ -203,22 +238,27 @@ def covered_tokens(stream: list[str], repeated: set[bytes], least: int = MIN_TOK
     return out
 
 
-def extract(pages: list[str | None], least: int = MIN_TOKENS, repeated: set[bytes] | None = None) -> list[str]:
-    """Main text of each page of one host, or of a shard whose windows that the host repeats are given."""
-    found = [Page(p).main() for p in pages]
-    open_ = [i for i, (_, marked) in enumerate(found) if not marked]
-    streams = [[w for b in found[i][0] for w in b.split(" ")] for i in open_]
-    out = [" ".join(b) for b, _ in found]
-    if repeated is not None or len(open_) > 1:
-        all_covered = repeated_tokens(streams, least) if repeated is None else [covered_tokens(s, repeated, least) for s in streams]
-        for i, covered in zip(open_, all_covered, strict=True):
-            kept, at = [], 0
-            for b in found[i][0]:
-                ws = b.split(" ")
-                c = covered[at : at + len(ws)]
-                at += len(ws)
-                kept.append(" ".join(w for w, gone in zip(ws, c.tolist(), strict=True) if not gone))
-            out[i] = " ".join(k for k in kept if k)
+def extract(pages: list[str | None], least: int = MIN_TOKENS, repeated: set[bytes] | None = None) -> list[tuple[str, int]]:
+    """Main text of each page of one host, or of a shard whose windows that the host repeats are given;
+    and how many of its tokens outside the article the suffix array removes."""
+    found = [Page(p) for p in pages]
+    streams = [p.outside() for p in found]
+    covered = repeated_tokens(streams, least)
+    if repeated:
+        covered = [c | covered_tokens(s, repeated, least) for c, s in zip(covered, streams, strict=True)]
+    out = []
+    for page, gone in zip(found, covered, strict=True):
+        top = page.top()
+        if top:
+            out.append((" ".join(t for t, lv in page.blocks if lv == top), int(gone.sum())))
+            continue
+        kept, at = [], 0
+        for t, lv in page.blocks:
+            ws = t.split(" ")
+            if lv == 0:
+                kept += [w for w, x in zip(ws, gone[at : at + len(ws)].tolist(), strict=True) if not x]
+            at += len(ws)
+        out.append((" ".join(kept), int(gone.sum())))
     return out
 
 
@@ -227,50 +267,51 @@ def _host(url):
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = MIN_TOKENS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """page_id, url, text, n_chars per row of pages.
+    """page_id, url, text, n_chars, n_repeated per row of pages.
 
-    Pages of a host meet in shards of about shard_bytes, so a host with a third of all pages is many
-    groups. The shards of a host exchange hashes of their windows of `least` tokens, so that a passage
+    n_repeated counts the tokens outside the article that the host repeats on another page. Pages of a
+    host meet in shards of about shard_bytes, so a host with a third of all pages is many groups. The
+    shards of a host exchange hashes of the windows of `least` tokens outside articles, so that a passage
     on any two of its pages is seen wherever they lie. Null html is empty and gives an empty text;
     a null or odd url belongs to the host ""; repeated rows each get a row; an empty table gives no
-    rows; other columns are ignored.
+    rows; other columns are ignored. The time of a page grows linearly with its length.
     """
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     p = p.withColumn("host", _host(F.col("url")))
     large = p.groupBy("host").agg(F.ceil(F.sum(F.octet_length("html")) / shard_bytes).cast("int").alias("shards")).filter("shards > 1")
     # At most one host per shard_bytes of input is large, so `large` is small and the html is not dealt for this join.
     p = p.join(F.broadcast(large), "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
-    p = p.withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")).cast("int"))
+    shard = F.pmod(F.xxhash64("page_id", "url"), F.col("shards")).cast("string")
+    # One key, so that no exchange by host alone can serve and the shards of a host spread over tasks.
+    p = p.select("page_id", "url", "html", "host", "shards", F.concat(shard, F.lit(" "), "host").alias("part"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each distinct window of a page that marks no container."""
+        """A row for each distinct window of a page's text outside its article."""
         for b in batches:
             rows, found = [], []
             for i, source in enumerate(b.column("html")):
-                blocks, marked = Page(source.as_py()).main()
-                mine = set() if marked else set(windows([w for x in blocks for w in x.split(" ")], least))
+                mine = set(windows(Page(source.as_py()).outside(), least))
                 rows += [i] * len(mine)
                 found += mine
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("host").take(take), b.column("shard").take(take), pa.array(found, pa.binary())], names=["host", "shard", "h"])
+            yield pa.RecordBatch.from_arrays([b.column("host").take(take), b.column("part").take(take), pa.array(found, pa.binary())], names=["host", "part", "h"])
 
-    each = p.filter("shards > 1").select("host", "shard", "html").mapInArrow(cut, "host string, shard int, h binary")
-    each = each.groupBy("host", "shard", "h").agg(F.count(F.lit(1)).alias("n"))
-    shared = each.withColumn("n", F.sum("n").over(W.partitionBy("host", "h"))).filter("n > 1").select("host", "shard", "h")
+    each = p.filter("shards > 1").select("host", "part", "html").mapInArrow(cut, "host string, part string, h binary")
+    each = each.groupBy("host", "part", "h").agg(F.count(F.lit(1)).alias("n"))
+    # Windows that two parts share; those of one part only are found by its own suffix array.
+    shared = each.withColumn("m", F.count(F.lit(1)).over(W.partitionBy("host", "h"))).filter("m > 1").select("part", "h")
 
     def run(t: pa.Table, repeated: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return pa.table({"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string()), "text": pa.array([], pa.string()), "n_chars": pa.array([], pa.int64())})
-        known = set(repeated.column("h").to_pylist()) if t.column("shards")[0].as_py() > 1 else None
-        texts = extract(t.column("html").to_pylist(), least, known)
+        texts = extract(t.column("html").to_pylist(), least, set(repeated.column("h").to_pylist()))
         return pa.table(
             {
-                "page_id": t.column("page_id"),
-                "url": t.column("url"),
-                "text": pa.array(texts, pa.string()),
-                "n_chars": pa.array([len(x) for x in texts], pa.int64()),
+                "page_id": t.column("page_id").cast(pa.int64()),
+                "url": t.column("url").cast(pa.string()),
+                "text": pa.array([x for x, _ in texts], pa.string()),
+                "n_chars": pa.array([len(x) for x, _ in texts], pa.int64()),
+                "n_repeated": pa.array([n for _, n in texts], pa.int64()),
             }
         )
 
-    keys = ["host", "shard"]
-    return p.groupBy(*keys).cogroup(shared.groupBy(*keys)).applyInArrow(run, "page_id long, url string, text string, n_chars long")
+    rows = p.select("page_id", "url", "html", "part").groupBy("part")
+    return rows.cogroup(shared.groupBy("part")).applyInArrow(run, "page_id long, url string, text string, n_chars long, n_repeated long")
