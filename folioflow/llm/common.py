@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import uuid
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: A class with more than total/HOT_PARTS rows is hot; so there are fewer than HOT_PARTS hot classes.
 HOT_PARTS = 1000
-DEFAULT_SHARED = "file:///tmp/checkpoints/folioflow"
+#: For a session in one process only, as in tests.
+LOCAL_SHARED = "file:///tmp/checkpoints/folioflow"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +23,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local default where it is unset."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or DEFAULT_SHARED).rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir. Only a session in one process may leave it unset."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    What a result still reads goes when the application ends, or by sweep(); the rest by unstash().
+    """
     spark = df.sparkSession
+    if not _swept:
+        atexit.register(_sweep_all)
+    _swept.add(spark)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -35,6 +46,22 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete all stashed tables of this application. Results that are not written yet are lost."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{sc.applicationId}")
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+_swept: set[SparkSession] = set()
+
+
+def _sweep_all() -> None:
+    for spark in _swept:
+        if spark.sparkContext._jsc is not None:
+            sweep(spark)
+
+
 def unstash(*frames: DataFrame) -> None:
     """Delete stashed tables that no plan needs any more."""
     for df in frames:

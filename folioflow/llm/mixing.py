@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 
 from .common import stash, unstash, word_count
 
+#: Id hashes are kept in so many parts, which salts are made of.
+PARTS = 1 << 20
+#: Terms of sums are rounded to this share of a word and summed exactly, so the order of tasks doesn't show.
+QUANTUM = 1 << 30
 #: Rows that one (source, salt) group may hold on average when a source has a third of all rows.
 SALT_ROWS = 60_000
 MAX_STEPS = 80
 TOLERANCE_WORDS = 0.25
+TOLERANCE_SHARE = 1e-9
 
 
 def _rate(cap: float) -> Column:
@@ -47,39 +52,54 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return s.select("source", "no_source", "source_size", "weight", target.alias("target"))
 
 
-def solve(counts: DataFrame, targets: DataFrame, cap: float = 2.0) -> DataFrame:
-    """Multiplier l and scale per source. counts: source, no_source, size, m (documents of that size)."""
+def _exact_sum(term: Column) -> Column:
+    """Sum over m documents of a term each, to 1/QUANTUM, the same in any order."""
+    whole = F.rint(term * QUANTUM).cast("decimal(28,0)") * F.col("m").cast("decimal(10,0)")
+    return F.sum(whole.cast("decimal(38,0)")).cast("double") / QUANTUM
+
+
+def solve(counts: DataFrame, targets: DataFrame, cap: float = 2.0, max_steps: int = MAX_STEPS) -> DataFrame:
+    """Multiplier l and scale per source. counts: source, no_source, size, m (documents of that size).
+
+    Raises if a source has not come within its tolerance of the target after max_steps.
+    """
     key = ["source", "no_source"]
-    scale = F.greatest(F.lit(1.0), F.sum(F.col("m") * F.col("size") * F.col("size")) / F.greatest(F.lit(1), F.sum(F.col("m") * F.col("size"))))
+    words, m = F.col("size").cast("decimal(15,0)"), F.col("m").cast("decimal(10,0)")
+    square = F.sum((m * words * words).cast("decimal(38,0)")).cast("double")
+    plain = F.sum((m * words).cast("decimal(38,0)")).cast("double")
+    scale = F.greatest(F.lit(1.0), square / F.greatest(F.lit(1.0), plain))
     state = targets.join(counts.groupBy(*key).agg(scale.alias("scale")), key)
     full = F.col("target") >= F.col("source_size") * cap * (1 - 1e-12)
-    state = stash(
-        state.select(*key, "source_size", "target", "scale", F.when(full, F.lit(1e6)).otherwise(F.lit(0.0)).alias("l"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), full.alias("done")), "mix-state"
-    )
-    for _ in range(MAX_STEPS):
+    no_bound = F.lit(float("inf"))
+    state = stash(state.select(*key, "source_size", "target", "scale", F.when(full, F.lit(1e6)).otherwise(F.lit(0.0)).alias("l"), (-no_bound).alias("lo"), no_bound.alias("hi"), full.alias("done")), "mix-state")
+    for _ in range(max_steps):
+        if state.filter(~F.col("done")).isEmpty():
+            return state
         live = state.filter(~F.col("done"))
         r, x = _rate(cap), F.col("size") / F.col("scale")
         sums = (
             counts.join(live, key)
             .groupBy(*key)
             .agg(
-                F.sum(F.col("m") * F.col("size") * r).alias("got"),
-                F.sum(F.col("m") * F.col("size") * x * r * (1 - r / cap)).alias("slope"),
+                _exact_sum(F.col("size") * r).alias("got"),
+                _exact_sum(F.col("size") * x * r * (1 - r / cap)).alias("slope"),
             )
         )
         gap = F.col("got") - F.col("target")
         s = state.join(sums, key, "left")
         s = s.withColumn("lo", F.when(gap < 0, F.col("l")).otherwise(F.col("lo"))).withColumn("hi", F.when(gap > 0, F.col("l")).otherwise(F.col("hi")))
-        s = s.withColumn("done", F.col("done") | F.col("got").isNull() | (F.abs(gap) <= TOLERANCE_WORDS))
+        near = F.greatest(F.lit(TOLERANCE_WORDS), F.col("target") * TOLERANCE_SHARE)
+        s = s.withColumn("done", F.col("done") | F.col("got").isNull() | (F.abs(gap) <= near))
         step = F.col("l") - gap / F.greatest(F.col("slope"), F.lit(1e-12))
-        wide = F.when(F.col("hi") >= 1e6, F.greatest(F.lit(1.0), F.col("lo") * 4)).when(F.col("lo") <= -1e6, F.least(F.lit(-1.0), F.col("hi") * 4)).otherwise((F.col("lo") + F.col("hi")) / 2)
+        above, below = F.col("hi") == no_bound, F.col("lo") == -no_bound
+        wide = F.when(above, F.greatest(F.lit(1.0), F.col("lo") * 4)).when(below, F.least(F.lit(-1.0), F.col("hi") * 4)).otherwise((F.col("lo") + F.col("hi")) / 2)
         inside = (step > F.col("lo")) & (step < F.col("hi")) & (F.abs(step - F.col("l")) <= 4 + F.abs(F.col("l")))
         s = s.withColumn("l", F.when(F.col("done"), F.col("l")).when(inside, step).otherwise(wide))
         new = stash(s.select(*state.columns), "mix-state")
         unstash(state)
         state = new
-        if state.filter(~F.col("done")).isEmpty():
-            break
+    if not state.filter(~F.col("done")).isEmpty():
+        raise RuntimeError(f"sources have not met their targets after {max_steps} steps")
     return state
 
 
@@ -96,19 +116,19 @@ def mix(
 
     Copies are whole, 0 to cap. In each (source, salt) the sizes are rounded from long to short and
     each rounding error is carried to the next size, so a source ends within a short document of its
-    target times its number of salts; within a size the documents with the smallest id hash get the
-    extra copy. Null texts have size 0, a null source is a source of its own, ordered last; repeated
+    target times its number of salts; within a size the documents with the smallest hash of id, source and text get the
+    extra copy, so reruns agree whatever the order of rows and tasks. Null texts have size 0, a null source is a source of its own, ordered last; repeated
     rows count each. Columns of docs with the names of the results are replaced.
     """
     size = word_count(F.col(text_col))
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "rate", "copies", "taken")]
     key = ["source", "no_source"]
     src = [F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.col(source_col).isNull().alias("no_source")]
-    pick = F.xxhash64(F.col(id_col), F.col(source_col), F.lit("mix"))
+    pick = F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col), F.lit("mix"))
 
-    raw = stash(docs.select(*src, size.alias("size"), pick.alias("pick")).groupBy("source", "no_source", "size", F.pmod("pick", F.lit(4096)).alias("part")).agg(F.count(F.lit(1)).alias("m")), "mix-raw")
+    raw = stash(docs.select(*src, size.alias("size"), pick.alias("pick")).groupBy("source", "no_source", "size", F.pmod("pick", F.lit(PARTS)).alias("part")).agg(F.count(F.lit(1)).alias("m")), "mix-raw")
     total = raw.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    salts = min(4096, max(1, -(-total // SALT_ROWS)))
+    salts = min(PARTS, max(1, -(-total // SALT_ROWS)))
     salt = F.pmod(F.col("part"), F.lit(salts))
     counts = stash(raw.groupBy(*key, "size").agg(F.sum("m").alias("m")), "mix-counts")
     targets = source_targets(counts.groupBy(*key).agg(F.sum(F.col("m") * F.col("size")).alias("source_size")), weights, share, float(cap))
@@ -140,13 +160,21 @@ def mix(
         *own,
         src[0].alias("__mix_source"),
         src[1].alias("__mix_null"),
-        F.pmod(F.pmod(pick, F.lit(4096)), F.lit(salts)).alias("__mix_salt"),
+        F.pmod(F.pmod(pick, F.lit(PARTS)), F.lit(salts)).alias("__mix_salt"),
         size.alias("size"),
         pick.alias("__mix_pick"),
     )
     q = quota.select(*[F.col(a).alias(b) for a, b in tag.items()], "source_size", "target", "rate", F.col("m").alias("__mix_m"), F.col("k").alias("__mix_k"))
-    joined = rows.join(q, list(tag.values()))
+    # Dealt by the keys that the window below needs anyway: no further exchange, and nothing is broadcast.
+    joined = rows.join(q.hint("merge"), list(tag.values()))
     nth = F.row_number().over(W.partitionBy(*tag.values()).orderBy("__mix_pick", F.col(id_col)))
     base = F.floor(F.col("__mix_k") / F.col("__mix_m"))
     copies = (base + (nth <= F.col("__mix_k") - base * F.col("__mix_m")).cast("long")).cast("long")
     return joined.withColumn("copies", copies).select(*own, "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """The rows of docs with their own columns, whatever their names, each as often as the mix takes it."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    mixed = mix(whole, f"__row.`{id_col}`", f"__row.`{text_col}`", f"__row.`{source_col}`", **settings).filter("copies > 0")
+    return mixed.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__row.*")

@@ -21,6 +21,8 @@ from .common import release_memory
 
 #: Bound of the training sample: labelled rows of each class, those with the smallest id hash.
 SAMPLE_ROWS = 1200
+#: Longer texts, in bytes, are not in the sample; it is what one driver holds. All texts are scored.
+SAMPLE_TEXT_BYTES = 200_000
 BUCKETS = 1 << 18
 DIM = 2
 NGRAMS = (3, 4, 5)
@@ -30,8 +32,9 @@ RATE = 0.8
 WARM = 6
 #: Pull of a bucket's vector towards zero; most n-grams tell nothing and end there.
 SHRINK = 0.07
-#: Buckets in fewer sample texts are left out.
-LEAST_TEXTS = 12
+#: Buckets in fewer than one sample text in LEAST_SHARE are left out, LEAST_TEXTS at least and at most.
+LEAST_SHARE = 100
+LEAST_TEXTS = (3, 12)
 SEED = 11
 #: Words that a worker remembers before it starts afresh.
 CACHE = 300_000
@@ -75,6 +78,30 @@ def _bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return used, np.bincount(at, share).astype(np.float32)
 
 
+def least_texts(n: int) -> int:
+    low, high = LEAST_TEXTS
+    return min(high, max(low, n // LEAST_SHARE))
+
+
+def forward(params: list[np.ndarray], row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text vectors (weighted sums of bucket vectors) and class probabilities."""
+    e, w, b = params
+    x = np.stack([np.bincount(row, val * e[col, d], minlength=n) for d in range(e.shape[1])], axis=1)
+    z = x @ w + b
+    z -= z.max(axis=1, keepdims=True)
+    p = np.exp(z)
+    return x, p / p.sum(axis=1, keepdims=True)
+
+
+def gradients(params: list[np.ndarray], x: np.ndarray, p: np.ndarray, y: np.ndarray, fitted: np.ndarray, row: np.ndarray, col: np.ndarray, val: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the log loss weighted by `fitted`, for embeddings, softmax weights and bias."""
+    e, w, _ = params
+    g = (p - np.eye(2)[y]) * fitted[:, None]
+    gx = g @ w.T
+    ge = np.stack([np.bincount(col, val * gx[row, d], minlength=len(e)) for d in range(e.shape[1])], axis=1)
+    return ge, x.T @ g, g.sum(axis=0)
+
+
 def train(texts: list[str | None], labels: list[int], prior: float | None = None, rounds: int = ROUNDS, shrink: float = SHRINK) -> Model:
     """Fit embeddings and softmax together by full-batch Adam on the log loss. prior: share of label 1 in the population."""
     rng = np.random.default_rng(SEED)
@@ -94,7 +121,7 @@ def train(texts: list[str | None], labels: list[int], prior: float | None = None
     del bags
     # Buckets of few texts go; the others are numbered.
     counts = np.bincount(col, minlength=BUCKETS)
-    used = np.flatnonzero(counts >= LEAST_TEXTS)
+    used = np.flatnonzero(counts >= least_texts(n))
     number = np.full(BUCKETS, -1, dtype=np.int32)
     number[used] = np.arange(len(used), dtype=np.int32)
     col = number[col]
@@ -103,7 +130,6 @@ def train(texts: list[str | None], labels: list[int], prior: float | None = None
     # One scale for all buckets puts the few telling ones of a text within reach of the step size.
     scale = float(np.median(np.maximum(1, sizes)))
     val = val * np.float32(scale)
-    m = len(used)
     weight = np.where(y == 1, prior / rate1, (1 - prior) / (1 - rate1))
     # Every fifth text is left out of the gradient; the round with the least loss on those is kept.
     aside = np.arange(n) % 5 == 4
@@ -115,22 +141,13 @@ def train(texts: list[str | None], labels: list[int], prior: float | None = None
     params = [e, weights, bias]
     moment = [np.zeros_like(p) for p in params]
     square = [np.zeros_like(p) for p in params]
-    onehot = np.eye(2)[y]
     for step in range(1, rounds + 1):
-        e, w, b = params
-        x = np.stack([np.bincount(row, val * e[col, d], minlength=n) for d in range(DIM)], axis=1)
-        z = x @ w + b
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
+        x, p = forward(params, row, col, val, n)
         watched = aside if aside.any() else ~aside
         loss = -(weight * np.log(np.maximum(p[np.arange(n), y], 1e-12)))[watched].mean()
         if loss < best[0]:
             best = (loss, [q.copy() for q in params])
-        g = (p - onehot) * fitted[:, None]
-        gx = g @ w.T
-        ge = np.stack([np.bincount(col, val * gx[row, d], minlength=m) for d in range(DIM)], axis=1)
-        for i, grad in enumerate((ge, x.T @ g, g.sum(axis=0))):
+        for i, grad in enumerate(gradients(params, x, p, y, fitted, row, col, val)):
             moment[i] = 0.9 * moment[i] + 0.1 * grad
             square[i] = 0.99 * square[i] + 0.01 * grad * grad
             rate = RATE * min(1, step / WARM) * (1 - step / (rounds + 1))
@@ -169,17 +186,19 @@ def held_out(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_text_bytes: int = SAMPLE_TEXT_BYTES) -> Model:
     """Train on at most sample_rows labelled rows of each class outside the held-out fold.
 
-    Labels that are null, or of ids without a document, are left out.
+    Labels that are null, of ids without a document, or of texts over sample_text_bytes are left out,
+    so the driver gets 2 * sample_rows * sample_text_bytes at most.
     """
     mine = labels.filter("toxic is not null and doc_id is not null").filter(~held_out())
     rates = {r.toxic: r.n for r in mine.filter("toxic in (0, 1)").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     pick = F.xxhash64("doc_id", F.lit("toxicity"))
     parts = [mine.filter(F.col("toxic") == c).select("doc_id", "toxic").orderBy(pick, "doc_id").limit(sample_rows) for c in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
+    short = F.octet_length(F.coalesce(F.col("text"), F.lit(""))) <= sample_text_bytes
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(short).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").collect()
     prior = rates.get(1, 0) / max(1, sum(rates.values()))
     return train([r.text for r in rows], [int(r.toxic) for r in rows], prior)
 

@@ -284,3 +284,57 @@ def test_secrets_of_long_texts():
     pem = f"-----BEGIN PRIVATE KEY-----\n{key}\n-----END PRIVATE KEY-----"
     assert [(a, b) for a, b, k in secrets.scan("-----BEGIN EC PRIVATE KEY-----\n" + pem + pem) if k == "pem"] == [(31, 31 + len(pem)), (31 + len(pem), 31 + 2 * len(pem))]
     assert secrets.scan("-----BEGIN EC PRIVATE KEY-----\n" + key + "\n-----END PRIVATE KEY-----") == []
+
+
+def test_mix_reruns(docs, edge):
+    """All columns agree bit by bit, whatever the order of rows and tasks."""
+    want = sorted(map(str, mixing.mix(docs).collect()))
+    assert want == sorted(map(str, mixing.mix(docs.repartition(7, "n_chars", "text")).collect()))
+    want = sorted(map(str, mixing.mix(edge).collect()))
+    assert want == sorted(map(str, mixing.mix(edge.orderBy("text").coalesce(1)).collect()))
+
+
+def plain_rates(sizes, target, cap=2.0):
+    """Rates of one source by bisection of the multiplier."""
+    import math
+
+    scale = sum(n * n for n in sizes) / sum(sizes)
+    rate = lambda l, n: cap / (1 + (cap - 1) * math.exp(-max(-700, min(700, l * n / scale))))  # noqa: E731, E741
+    lo, hi = -1e4, 1e4
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        if sum(n * rate(mid, n) for n in sizes) < target:
+            lo = mid
+        else:
+            hi = mid
+    return {n: rate(lo, n) for n in set(sizes)}
+
+
+def test_mix_rates(docs, rows):
+    """Rates against bisection, and each source's copies against its target."""
+    sizes, words = defaultdict(list), defaultdict(int)
+    for _, t, s in rows:
+        sizes[s].append(len(brute.words(t)))
+        words[s] += sizes[s][-1]
+    want = brute.targets(words)
+    got = mixing.mix(docs).collect()
+    for s in sizes:
+        if want[s] < 1.999 * words[s]:
+            rates = plain_rates(sizes[s], want[s])
+            assert all(r.rate == pytest.approx(rates[r.size], abs=2e-3) for r in got if r.source == s and r.size)
+    assert all(0 <= r.copies <= 2 and 0 <= r.rate <= 2 for r in got)
+
+
+def test_mix_gives_up(docs):
+    counts = docs.selectExpr("coalesce(source, '') source", "source is null no_source", "cast(size(split(text, ' ')) as long) size").groupBy("source", "no_source", "size").agg({"*": "count"}).withColumnRenamed("count(1)", "m")
+    sums = counts.selectExpr("source", "no_source", "m * size as w").groupBy("source", "no_source").agg({"w": "sum"}).withColumnRenamed("sum(w)", "source_size")
+    with pytest.raises(RuntimeError):
+        mixing.solve(counts, mixing.source_targets(sums), 2.0, max_steps=1)
+
+
+def test_mix_rows_keeps_columns(spark):
+    names = ["doc_id", "text", "source", "size", "target", "rate", "copies", "source_size", "taken"]
+    data = [(i, "a b c " * (i % 5), f"s{i % 3}", *range(i, i + 6)) for i in range(60)]
+    frame = spark.createDataFrame(data, names)
+    got = mixing.mix_rows(frame)
+    assert got.columns == names and set(map(tuple, got.collect())) <= set(data)

@@ -243,11 +243,75 @@ def test_toxicity(spark):
     assert toxicity.keep_rows(odd, model).columns == odd.columns
 
 
+def test_toxicity_gradients():
+    """Gradients against finite differences of the loss."""
+    r = np.random.default_rng(8)
+    n, m, d = 7, 9, 3
+    row, col = np.repeat(np.arange(n), 4), r.integers(0, m, 4 * n)
+    val, y, fitted = r.random(4 * n), r.integers(0, 2, n), r.random(n)
+    params = [r.normal(size=(m, d)), r.normal(size=(d, 2)), r.normal(size=2)]
+
+    def loss():
+        _, p = toxicity.forward(params, row, col, val, n)
+        return -(fitted * np.log(p[np.arange(n), y])).sum()
+
+    x, p = toxicity.forward(params, row, col, val, n)
+    for q, grad in zip(params, toxicity.gradients(params, x, p, y, fitted, row, col, val), strict=True):
+        for at in np.ndindex(q.shape):
+            kept = q[at]
+            q[at] = kept + 1e-6
+            up = loss()
+            q[at] = kept - 1e-6
+            down = loss()
+            q[at] = kept
+            assert abs((up - down) / 2e-6 - grad[at]) < 1e-6
+
+
+def test_toxicity_scores_by_hand(spark):
+    """A text's score from its words' bucket means, long and repeated texts included."""
+    r = np.random.default_rng(3)
+    model = toxicity.Model(r.normal(size=(toxicity.BUCKETS, 2)), r.normal(size=(2, 2)), r.normal(size=2))
+    rows = [(1, "Alpha beta, alpha!"), (1, "Alpha beta, alpha!"), (2, "one two three " * 60_000), (3, "?!"), (4, None)]
+    df = spark.createDataFrame([(*x, 9, "c") for x in rows], "doc_id long, text string, score int, held_out string")
+
+    def plain(text):
+        ws = re.findall(r"\w+", (text or "").lower())
+        logits = model.bias.copy()
+        for w in set(ws):
+            logits = logits + ws.count(w) / len(ws) * (model.vectors[toxicity.grams(w)].mean(axis=0) @ model.weights)
+        return 1 / (1 + np.exp(logits[0] - logits[1]))
+
+    got = sorted((x.doc_id, x.score) for x in toxicity.score(df, model).collect())
+    assert got == [(d, pytest.approx(plain(t), abs=1e-9)) for d, t in rows]
+
+
 def test_untrained():
     m = toxicity.train(["a b"], [0])
     assert toxicity.Scorer(*m.shares()).score("a") < 0.5
 
 
+def test_pipeline_edges(spark):
+    """Nulls, empty texts, repeated rows, an empty table, and columns named as the operators' results."""
+    import corpus_pipeline as p
+
+    names = "doc_id long, text string, lang string, source string, n_chars long, size long, copies long, rate double, fp long, target double"
+    rows = [(1, "a b c d", "en", "s", 7, 1, 2, 0.5, 4, 1.0), (1, "a b c d", "en", "s", 7, 1, 2, 0.5, 4, 1.0), (None, None, None, None, None, None, None, None, None, None), (2, "", "de", None, 0, 8, 9, 1.0, 1, 2.0), (None, "x y z w v u", None, "t", 3, 3, 3, 3.0, 3, 3.0)]
+    for data in (rows, []):
+        d = spark.createDataFrame(data, names)
+        for name, f in p.STAGES:
+            out = f(spark, d, SF)
+            if name != "bpe":
+                assert out.columns == d.columns
+            kept = out.collect()
+            if name in ("toxicity", "exact_dedup", "simhash", "mixing"):
+                assert set(map(tuple, kept)) <= set(data)
+            if name == "exact_dedup" and data:
+                assert len(kept) == 3
+            if not data:
+                assert kept == []
+            d = spark.createDataFrame(kept, out.schema)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
@@ -276,4 +340,4 @@ def test_pipeline(spark):
     assert len(steps["bpe"]) == len(steps["mixing"])
     for r in steps["bpe"]:
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest() and len(r.ids) == 4 * r.n_tokens
-    assert p.run(spark, SF).count() == len(steps["bpe"])
+    assert sorted(map(str, p.run(spark, SF).collect())) == sorted(map(str, steps["bpe"]))
