@@ -301,8 +301,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     answers = sent.groupBy("bucket").applyInArrow(_answer, "block int, repeated binary, refuted array<binary>")
     found = stash(d.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_cover(k, bits), _SCHEMA), "substring-found")
     cuts = found.select("block", F.explode("stretches").alias("x")).select("block", "x.key", "x.n", "x.words")
-    # Equal stretches collapse on the map side, so a passage in every block stays one row per task.
-    once = cuts.groupBy("key", "words").agg(F.sum("n").alias("n")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    # One exchange by bucket; equal stretches collapse there before a bucket is read as a whole.
+    dealt = cuts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(blocks))).select("bucket", "words", "n").repartition("bucket")
+    once = dealt.groupBy("bucket", "words").agg(F.sum("n").alias("n"))
     lone = stash(once.groupBy("bucket").applyInArrow(_refute(k), "words binary, refuted array<binary>"), "substring-refuted")
     found = found.drop("stretches")
     if lone.isEmpty():
@@ -316,17 +317,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.join(F.broadcast(wrong.select("block")), "block", "left_anti").select(*found.columns).unionByName(again.drop("stretches"))
 
 
-def paths(found: DataFrame, k: int = WINDOW) -> DataFrame:
-    """Nonbranching paths from the result of substring_dedup, verified by source coordinates.
-
-    found must be a written table, as block and nth name its rows. One row per row and path: block, nth,
-    doc_id, path_hi, path_lo, spans, copies, verified. Pieces are nodes; a piece that has one
-    successor whose only predecessor it is, over all documents, is joined to it. A path is verified in
-    a document if each piece of it there has a second source of the same length and both rolling
-    hashes; the pieces at the ends of a run, where another source goes on, are usually alone.
-    """
-    row = ["block", "nth", "doc_id"]
-    seq = found.select(*row, F.posexplode("pieces").alias("at", "p")).select(*row, "at", F.struct("p.hi", "p.lo").alias("piece"), "p.start", "p.end")
+def _path_pieces(found: DataFrame, k: int) -> DataFrame:
+    """block, nth, path, start, end, copies, verified of each piece of each row."""
+    row = ["block", "nth"]
+    seq = found.select(*row, F.explode("pieces").alias("p")).select(*row, F.struct("p.hi", "p.lo").alias("piece"), F.col("p.start").cast("int").alias("start"), F.col("p.end").cast("int").alias("end"))
     n = F.greatest(F.size("pieces") - 1, F.lit(0))
     nxt = found.select(F.explode(F.arrays_zip(F.slice("pieces", 1, n).alias("x"), F.slice("pieces", 2, n).alias("y"))).alias("z"))
     # Neighbours of one run: the next piece's first edge follows the last edge of this one.
@@ -341,10 +335,24 @@ def paths(found: DataFrame, k: int = WINDOW) -> DataFrame:
     named = sources.join(roots, "piece", "left").select("piece", F.coalesce("root", "piece").alias("path"), "copies", ((F.col("copies") > 1) & (F.col("short") == F.col("long"))).alias("verified"))
     named = stash(named, "paths-named")
     total = named.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    return join_classes(seq, named, ["piece"], "copies", total).select(*row, "path", "start", "end", "copies", "verified")
+
+
+def paths(found: DataFrame, k: int = WINDOW) -> DataFrame:
+    """Nonbranching paths from the result of substring_dedup, verified by source coordinates.
+
+    found must be a written table, as block and nth name its rows. One row per row and path: block, nth,
+    path_hi, path_lo, spans, copies, verified. Pieces are nodes; a piece that has one successor whose
+    only predecessor it is, over all documents, is joined to it. A path is verified in a document if
+    each piece of it there has a second source of the same length and both rolling hashes; the pieces
+    at the ends of a run, where another source goes on, are usually alone: their windows are verified
+    by words, in stretches.
+    """
+    row = ["block", "nth"]
     return (
-        join_classes(seq, named, ["piece"], "copies", total)
+        _path_pieces(found, k)
         .groupBy(*row, "path")
-        .agg(F.collect_list(F.struct("start", "end")).alias("spans"), F.min("copies").alias("copies"), F.min("verified").alias("verified"))
+        .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"), F.min("copies").alias("copies"), F.min("verified").alias("verified"))
         .select(*row, F.col("path.hi").alias("path_hi"), F.col("path.lo").alias("path_lo"), "spans", "copies", "verified")
     )
 
@@ -355,10 +363,11 @@ def with_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_removed is read off the source coordinates of the row's paths: the words that their pieces cover.
     """
     found = substring_dedup(docs, id_col, text_col, k, block_bytes, bits)
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
     step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["to"], x["start"]))).alias("n"), F.greatest(a["to"], x["end"]).alias("to"))
-    spans = F.sort_array(F.flatten(F.collect_list("spans")))
-    p = paths(found, k).groupBy("block", "nth").agg(F.count(F.lit(1)).alias("n_paths"), F.count_if("verified").alias("n_verified"), F.aggregate(spans, start, step, lambda a: a["n"]).alias("n_removed"))
+    spans = F.sort_array(F.collect_list(F.struct("start", "end")))
+    held, lone = F.size(F.collect_set("path")), F.size(F.collect_set(F.when(~F.col("verified"), F.col("path"))))
+    p = _path_pieces(found, k).groupBy("block", "nth").agg(held.alias("n_paths"), (held - lone).alias("n_verified"), F.aggregate(spans, start, step, lambda a: a["n"]).alias("n_removed"))
     out = found.drop("pieces", "n_removed").join(p, ["block", "nth"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("doc_id", "n_words", zero("n_removed"), "kept_sha256", zero("n_paths"), zero("n_verified"))

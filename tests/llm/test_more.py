@@ -70,7 +70,7 @@ def test_paths(spark):
     spans = defaultdict(set)
     for r in p:
         if r.verified:
-            spans[(r.path_hi, r.path_lo)].add(r.doc_id)
+            spans[(r.path_hi, r.path_lo)].add((r.block, r.nth))
     assert all(len(v) > 1 for v in spans.values()) and spans
 
 
