@@ -9,14 +9,14 @@ from . import text as T
 
 # Marker words, codes, profile numbers and patterns that results depend on.
 MARKERS = {
-    "en": "the and of for with from to in is are this that will when",
-    "fr": "le la les de des du et est sont pour avec dans ce cette qui que",
-    "es": "el la los las de del y en para con que por es son",
-    "de": "der die das und mit für von zu in ist sind den dem",
-    "it": "il lo la gli le di e con per in che è sono",
-    "pt": "o a os as de do da e com para em que é são",
-    "ru": "и в на с для что это к из по",
-    "ar": "و في من على مع إلى أن هذا هذه",
+    "en": ("the", "and", "of", "for", "with", "from", "to", "in", "is", "are", "this", "that", "will", "when"),
+    "fr": ("le", "la", "les", "de", "des", "du", "et", "est", "sont", "pour", "avec", "dans", "ce", "cette", "qui", "que"),
+    "es": ("el", "la", "los", "las", "de", "del", "y", "en", "para", "con", "que", "por", "es", "son"),
+    "de": ("der", "die", "das", "und", "mit", "für", "von", "zu", "in", "ist", "sind", "den", "dem"),
+    "it": ("il", "lo", "la", "gli", "le", "di", "e", "con", "per", "in", "che", "è", "sono"),
+    "pt": ("o", "a", "os", "as", "de", "do", "da", "e", "com", "para", "em", "que", "é", "são"),
+    "ru": ("и", "в", "на", "с", "для", "что", "это", "к", "из", "по"),
+    "ar": ("و", "في", "من", "على", "مع", "إلى", "أن", "هذا", "هذه"),
 }
 LANGUAGE_NAMES = {
     "french": "fr",
@@ -63,7 +63,7 @@ MODEL_CODES = {
 }
 SCRIPTS = (("zh", r"[一-鿿]"), ("ja", r"[぀-ヿ]"), ("ko", r"[가-힯]"), ("ar", r"[؀-ۿ]"), ("ru", r"[Ѐ-ӿ]"))
 GATE_STOP = r"(?iU)\b(the\b|we\b|you\b|suppose\b|look at\b|remember\b|passes through\b|high-level\b|architecture\b)"
-GATE_ENGLISH = "the and with for from this that are you your will layers feature network looks suppose building classify passes through detect patterns extract"
+GATE_ENGLISH = ("the", "and", "with", "for", "from", "this", "that", "are", "you", "your", "will", "layers", "feature", "network", "looks", "suppose", "building", "classify", "passes", "through", "detect", "patterns", "extract")
 MAX_SOURCE_LEAK = 1.15
 PENALTIES = {
     "unchanged_translation": 40,
@@ -91,17 +91,92 @@ LITERAL_FR = (
 )
 WEAK_FR = ("et ainsi de suite", "pour l'instant", "pas tout à fait")
 DOMAINS = {
-    "science": "equation,theorem,integral,derivative,matrix,vector,physics,molecule,chemical,astronomy,galaxy,orbit,telescope,neural,learning rate,optimization,algorithm",
-    "economy": "inflation,gdp,interest rate,fiscal,monetary,economy,market,bond,equity,exchange rate,trade balance",
-    "politics": "election,parliament,government,policy,constitution,diplomacy,senate,legislative,executive,public administration",
-    "biology": "cell,protein,gene,dna,rna,enzyme,organism,immune,genome,microbiology,ecology",
-    "medicine": "patient,diagnosis,therapy,clinical,pharmacology,epidemiology,oncology,cardiology,neurology,hospital,symptom",
-    "engineering": "mechanical,electrical,civil engineering,control system,signal processing,manufacturing,structural,embedded,robotics,cad",
-    "legal": "court,statute,regulation,contract,criminal law,civil law,jurisdiction,compliance,litigation,tax law",
-    "technology": "software,hardware,database,cloud,cybersecurity,api,protocol,distributed system,operating system,container",
-    "education": "curriculum,pedagogy,assessment,learning outcomes,classroom,didactics,instructional design,student performance",
-    "history": "historical period,chronology,empire,archival,historiography,medieval,antiquity,industrial revolution",
-    "geography": "latitude,longitude,topography,cartography,climate,river basin,geology,landform,ecosystem,geospatial",
+    "science": ("equation", "theorem", "integral", "derivative", "matrix", "vector", "physics", "molecule", "chemical", "astronomy", "galaxy", "orbit", "telescope", "neural", "learning rate", "optimization", "algorithm"),
+    "economy": ("inflation", "gdp", "interest rate", "fiscal", "monetary", "economy", "market", "bond", "equity", "exchange rate", "trade balance"),
+    "politics": ("election", "parliament", "government", "policy", "constitution", "diplomacy", "senate", "legislative", "executive", "public administration"),
+    "biology": ("cell", "protein", "gene", "dna", "rna", "enzyme", "organism", "immune", "genome", "microbiology", "ecology"),
+    "medicine": ("patient", "diagnosis", "therapy", "clinical", "pharmacology", "epidemiology", "oncology", "cardiology", "neurology", "hospital", "symptom"),
+    "engineering": ("mechanical", "electrical", "civil engineering", "control system", "signal processing", "manufacturing", "structural", "embedded", "robotics", "cad"),
+    "legal": ("court", "statute", "regulation", "contract", "criminal law", "civil law", "jurisdiction", "compliance", "litigation", "tax law"),
+    "technology": ("software", "hardware", "database", "cloud", "cybersecurity", "api", "protocol", "distributed system", "operating system", "container"),
+    "education": ("curriculum", "pedagogy", "assessment", "learning outcomes", "classroom", "didactics", "instructional design", "student performance"),
+    "history": ("historical period", "chronology", "empire", "archival", "historiography", "medieval", "antiquity", "industrial revolution"),
+    "geography": ("latitude", "longitude", "topography", "cartography", "climate", "river basin", "geology", "landform", "ecosystem", "geospatial"),
+}
+# Keywords of each domain's subdomains, in the order that decides ties.
+SUBDOMAINS = {
+    "science": {
+        "mathematics": ("equation", "theorem", "lemma", "integral", "derivative", "matrix", "vector", "probability", "statistics", "algebra", "calculus", "topology"),
+        "physics": ("force", "energy", "velocity", "acceleration", "quantum", "relativity", "mass", "momentum", "thermodynamics", "electromagnetic", "wave", "particle"),
+        "chemistry": ("molecule", "molar", "stoichiometry", "reaction", "compound", "acid", "base", "catalyst", "polymer", "organic chemistry", "inorganic", "ph", "atom"),
+        "astronomy": ("galaxy", "planet", "star", "orbit", "cosmology", "telescope", "nebula", "astrophysics", "solar system", "exoplanet", "supernova"),
+        "computer_science": (
+            "algorithm", "neural", "learning rate", "gradient descent", "dataset", "model", "training", "inference", "backpropagation", "optimization", "network", "cpu",
+            "memory", "complexity", "compiler",
+        ),
+    },
+    "economy": {
+        "macroeconomics": ("inflation", "gdp", "fiscal policy", "monetary policy", "unemployment", "cpi"),
+        "finance": ("equity", "bond", "portfolio", "derivative", "volatility", "asset pricing"),
+        "banking": ("interest rate", "credit risk", "liquidity", "deposit", "loan", "capital adequacy"),
+        "trade": ("export", "import", "tariff", "trade balance", "customs", "exchange rate"),
+    },
+    "politics": {
+        "governance": ("governance", "public administration", "institutional", "accountability", "transparency"),
+        "public_policy": ("public policy", "policy design", "implementation", "regulatory impact"),
+        "diplomacy": ("foreign policy", "diplomacy", "treaty", "bilateral", "multilateral"),
+        "elections": ("election", "electoral", "ballot", "voter", "campaign"),
+        "law": ("constitutional", "legislative", "judiciary", "rule of law", "jurisdiction"),
+    },
+    "biology": {
+        "genetics": ("gene", "genome", "mutation", "inheritance", "genetic expression"),
+        "microbiology": ("bacteria", "virus", "microorganism", "culture medium", "pathogen"),
+        "immunology": ("immune", "antibody", "antigen", "innate immunity", "adaptive immunity"),
+        "ecology": ("ecosystem", "biodiversity", "habitat", "population dynamics", "food web"),
+        "physiology": ("metabolism", "homeostasis", "organ system", "cell membrane", "enzyme"),
+    },
+    "medicine": {
+        "cardiology": ("cardiac", "heart failure", "arrhythmia", "hypertension", "ecg"),
+        "oncology": ("tumor", "cancer", "metastasis", "chemotherapy", "radiotherapy"),
+        "neurology": ("neuron", "brain", "stroke", "epilepsy", "neurodegenerative"),
+        "pharmacology": ("drug", "dosage", "pharmacokinetics", "adverse effect", "contraindication"),
+        "epidemiology": ("incidence", "prevalence", "cohort", "outbreak", "public health"),
+    },
+    "engineering": {
+        "mechanical": ("thermofluid", "mechanics", "kinematics", "dynamics", "stress", "strain"),
+        "electrical": ("circuit", "voltage", "current", "resistance", "signal", "control"),
+        "civil": ("structural", "geotechnical", "concrete", "beam", "foundation", "load"),
+        "materials": ("alloy", "composite", "microstructure", "fatigue", "fracture"),
+        "control_systems": ("feedback", "stability", "controller", "pid", "state space"),
+    },
+    "legal": {
+        "civil_law": ("civil law", "tort", "liability", "damages", "obligation"),
+        "criminal_law": ("criminal law", "offense", "prosecution", "penalty", "felony"),
+        "international_law": ("international law", "treaty", "sovereignty", "jurisdiction", "convention"),
+        "labor_law": ("employment", "collective bargaining", "labor code", "workplace", "union"),
+        "tax_law": ("taxable income", "deduction", "vat", "withholding", "tax compliance"),
+    },
+    "technology": {
+        "software": ("software architecture", "refactoring", "testing", "deployment", "dependency"),
+        "data": ("database", "etl", "data warehouse", "query optimization", "schema"),
+        "cloud": ("cloud", "container", "kubernetes", "autoscaling", "infrastructure as code"),
+        "cybersecurity": ("encryption", "vulnerability", "threat model", "authentication", "authorization"),
+    },
+    "education": {
+        "pedagogy": ("pedagogy", "didactics", "teaching strategy", "active learning"),
+        "assessment": ("assessment", "rubric", "summative", "formative", "evaluation"),
+        "curriculum": ("curriculum", "syllabus", "learning outcomes", "competency framework"),
+    },
+    "history": {
+        "ancient_history": ("antiquity", "ancient empire", "classical period", "archaeological"),
+        "medieval_history": ("medieval", "feudal", "kingdom", "chronicle", "manorial"),
+        "modern_history": ("industrial revolution", "colonial", "nation-state", "modern era"),
+    },
+    "geography": {
+        "physical_geography": ("landform", "hydrology", "geomorphology", "climate", "tectonic"),
+        "human_geography": ("urbanization", "migration", "demography", "settlement", "economic geography"),
+        "geospatial": ("gis", "cartography", "geospatial", "remote sensing", "geodesy"),
+    },
 }
 
 
@@ -109,7 +184,7 @@ def marker_count(c, lang: str) -> Column:
     """Occurrences of the language's marker words; 0 for languages without markers."""
     if lang not in MARKERS:
         return F.lit(0)
-    return F.regexp_count(T.clean_spaces(c), F.lit(rf"(?iU)\b({'|'.join(MARKERS[lang].split())})\b"))
+    return F.regexp_count(T.clean_spaces(c), F.lit(rf"(?iU)\b({'|'.join(MARKERS[lang])})\b"))
 
 
 def marker_count_by(c, lang: Column) -> Column:
@@ -163,58 +238,95 @@ def gate_ok(c, target: Column, source: Column | None = None, strict: bool = True
     clean = (s != "") & ~T.has_invisible(s)
     if not strict:
         return clean
-    english = F.regexp_count(s, F.lit(rf"(?iU)\b({'|'.join(GATE_ENGLISH.split())})\b"))
+    english = F.regexp_count(s, F.lit(rf"(?iU)\b({'|'.join(GATE_ENGLISH)})\b"))
     french = (target == "fr") & (s.rlike(GATE_STOP) | (english > 1))
     return clean & ~french & (source_leak(s, target, F.lit("en") if source is None else source) <= MAX_SOURCE_LEAK)
 
 
-def quality(source, translation, role: Column, target: Column, protected: Column | None = None) -> Column:
-    """Struct of score 0 to 100, flags in order, and status ok, review or critical."""
+def _quality_inputs(source, translation, target: Column) -> dict[str, Column]:
     src, out = T.normalize_spaces(source), T.normalize_spaces(translation)
-    protected = F.lit(False) if protected is None else protected
-    n, m = T.word_count(src), T.word_count(out)
-    en, tg = marker_count(out, "en"), marker_count_by(out, target)
-    literal = sum((out.rlike("(?iU)" + p).cast("int") for p in LITERAL_FR), F.lit(0))
-    weak = F.regexp_count(out, F.lit(rf"(?iU)\b({'|'.join(WEAK_FR)})\b"))
     count = lambda s, ch: F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))
+    return {
+        "src": src,
+        "out": out,
+        "n": T.word_count(src),
+        "m": T.word_count(out),
+        "en": marker_count(out, "en"),
+        "tg": marker_count_by(out, target),
+        "literal": sum((out.rlike("(?iU)" + p).cast("int") for p in LITERAL_FR), F.lit(0)),
+        "weak": F.regexp_count(out, F.lit(rf"(?iU)\b({'|'.join(WEAK_FR)})\b")),
+        "noise": out.rlike("[!?]{2,}"),
+        "closed": src.rlike(r"[.!?]\s*$"),
+        "parens": (count(src, "(") == count(out, "(")) & (count(src, ")") == count(out, ")")),
+    }
+
+
+def _quality_verdict(x: dict[str, Column], role: Column, target: Column, protected: Column) -> Column:
+    n, m, en, tg, p = x["n"], x["m"], x["en"], x["tg"], PENALTIES
     leak = (target != "en") & (tg == 0) & (en >= 2)
+    short = F.greatest(F.lit(3), F.floor(n * F.lit(RULES["short_ratio"])).cast("int"))
+    long = F.greatest(F.lit(60), F.floor(F.greatest(F.lit(1), n) * F.lit(RULES["long_ratio"])).cast("int"))
     rows = [
-        ("unchanged_translation", (out == src) & ~protected, F.lit(PENALTIES["unchanged_translation"])),
-        (
-            "too_short",
-            (n >= RULES["min_source_words_for_ratio_check"]) & (m < F.greatest(F.lit(3), F.floor(n * F.lit(RULES["short_ratio"])).cast("int"))),
-            F.lit(PENALTIES["too_short"]),
-        ),
-        ("too_long", m > F.greatest(F.lit(60), F.floor(F.greatest(F.lit(1), n) * F.lit(RULES["long_ratio"])).cast("int")), F.lit(PENALTIES["too_long"])),
-        ("english_leak", leak, F.lit(PENALTIES["english_leak"])),
-        ("mixed_language", (target != "en") & ~leak & (en > tg + 3), F.lit(PENALTIES["mixed_language"])),
-        ("punctuation_noise", out.rlike("[!?]{2,}"), F.lit(PENALTIES["punctuation_noise"])),
-        ("literal_style", (target == "fr") & (literal > 0), F.least(F.lit(PENALTIES["literal_style_max"]), literal * PENALTIES["literal_style_per_hit"])),
-        ("weak_style_connectors", (target == "fr") & (weak >= 2), F.lit(PENALTIES["weak_style_connectors"])),
-        ("source_fragment", (src != "") & ~src.rlike(r"[.!?]\s*$") & (n >= 8), F.lit(PENALTIES["source_fragment"])),
-        ("parenthesis_mismatch", (count(src, "(") != count(out, "(")) | (count(src, ")") != count(out, ")")), F.lit(PENALTIES["parenthesis_mismatch"])),
+        ("unchanged_translation", (x["out"] == x["src"]) & ~protected, F.lit(p["unchanged_translation"])),
+        ("too_short", (n >= RULES["min_source_words_for_ratio_check"]) & (m < short), F.lit(p["too_short"])),
+        ("too_long", m > long, F.lit(p["too_long"])),
+        ("english_leak", leak, F.lit(p["english_leak"])),
+        ("mixed_language", (target != "en") & ~leak & (en > tg + 3), F.lit(p["mixed_language"])),
+        ("punctuation_noise", x["noise"], F.lit(p["punctuation_noise"])),
+        ("literal_style", (target == "fr") & (x["literal"] > 0), F.least(F.lit(p["literal_style_max"]), x["literal"] * p["literal_style_per_hit"])),
+        ("weak_style_connectors", (target == "fr") & (x["weak"] >= 2), F.lit(p["weak_style_connectors"])),
+        ("source_fragment", (x["src"] != "") & ~x["closed"] & (n >= 8), F.lit(p["source_fragment"])),
+        ("parenthesis_mismatch", ~x["parens"], F.lit(p["parenthesis_mismatch"])),
     ]
-    lost = sum((F.when(hit, pen).otherwise(0) for _, hit, pen in rows), F.lit(0))
-    raw = F.lit(100) - lost
+    empty = x["out"] == ""
+    raw = F.lit(100) - sum((F.when(hit, pen).otherwise(0) for _, hit, pen in rows), F.lit(0))
     floor = F.when(role.isin("header", "footer") & (n <= 6), F.greatest(raw, F.lit(70))).otherwise(raw)
-    score = F.when(out == "", 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), floor)))
-    flags = F.when(out == "", F.array(F.lit("empty_translation"))).otherwise(F.array_compact(F.array(*[F.when(hit, name) for name, hit, _ in rows])))
-    status = F.when(score < THRESHOLDS["critical_below"], "critical").when(score < THRESHOLDS["review_below"], "review").otherwise("ok")
-    return F.struct(score.cast("int").alias("score"), flags.alias("flags"), status.alias("status"))
+    score = F.when(empty, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), floor)))
+    flags = F.when(empty, F.array(F.lit("empty_translation"))).otherwise(F.array_compact(F.array(*[F.when(hit, name) for name, hit, _ in rows])))
+    return F.struct(score.cast("int").alias("score"), flags.alias("flags"))
+
+
+def _status(score: Column) -> Column:
+    return F.when(score < THRESHOLDS["critical_below"], "critical").when(score < THRESHOLDS["review_below"], "review").otherwise("ok")
 
 
-def lexicon(spark, table: dict[str, str] | None = None) -> DataFrame:
-    """(domain, ord, keyword) from comma-separated keyword lists."""
-    rows = [(d, i, k) for i, (d, ks) in enumerate((table or DOMAINS).items()) for k in ks.split(",")]
+def quality(source, translation, role: Column, target: Column, protected: Column | None = None) -> Column:
+    """Struct of score 0 to 100, flags in order, and status ok, review or critical."""
+    v = _quality_verdict(_quality_inputs(source, translation, target), role, target, F.lit(False) if protected is None else protected)
+    return F.struct(v["score"].alias("score"), v["flags"].alias("flags"), _status(v["score"]).alias("status"))
+
+
+def with_quality(df: DataFrame, source, translation, role: Column, target: Column, protected: Column | None = None) -> DataFrame:
+    """df with score, flags and status as quality() gives them. Counts are taken once per row: a generator
+    between the steps keeps the optimiser from copying them into every flag."""
+    x = _quality_inputs(source, translation, target)
+    context = {"role": role, "target": target, "protected": F.lit(False) if protected is None else protected}
+    d = df.withColumn("__x", F.explode(F.array(F.struct(*[c.alias(k) for k, c in (x | context).items()]))))
+    at = {k: F.col(f"__x.{k}") for k in x | context}
+    d = d.withColumn("__v", F.explode(F.array(_quality_verdict(at, at["role"], at["target"], at["protected"]))))
+    return d.select(*df.columns, F.col("__v.score").alias("score"), F.col("__v.flags").alias("flags"), _status(F.col("__v.score")).alias("status"))
+
+
+def lexicon(spark, table: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(domain, ord, keyword) from keyword lists."""
+    rows = [(d, i, k) for i, (d, ks) in enumerate((table or DOMAINS).items()) for k in ks]
     return spark.createDataFrame(rows, "domain string, ord int, keyword string")
 
 
-def domain_of(c, table: dict[str, str] | None = None, default: str = "general") -> Column:
+def domain_of(c, table: dict[str, tuple[str, ...]] | None = None, default: str = "general") -> Column:
     """The domain with the most keywords inside the lower-cased text; the first one on ties, default if none hits."""
     s = F.lower(T.text(c))
     scores = [
-        F.struct(sum((s.contains(k).cast("int") for k in ks.split(",")), F.lit(0)).alias("hits"), F.lit(-i).alias("order"), F.lit(d).alias("domain"))
+        F.struct(sum((s.contains(k).cast("int") for k in ks), F.lit(0)).alias("hits"), F.lit(-i).alias("order"), F.lit(d).alias("domain"))
         for i, (d, ks) in enumerate((table or DOMAINS).items())
     ]
     best = F.array_max(F.array(*scores))
     return F.when(best["hits"] > 0, best["domain"]).otherwise(default)
+
+
+def subdomain_of(c, domain: Column) -> Column:
+    """The subdomain of `domain` with most keywords inside the lower-cased text; the first on ties, "" if none hits."""
+    out = F.lit("")
+    for d, table in SUBDOMAINS.items():
+        out = F.when(F.lower(T.text(domain)) == d, domain_of(c, table, "")).otherwise(out)
+    return out

@@ -8,9 +8,41 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 SCHEMA = "domain string, src string, tgt string, kind string, key string, value string, load_seq long"
+# The seed glossary, English to French, by domain; and French variants put right.
+SEED = {
+    "science": {
+        "gradient descent": "descente de gradient",
+        "learning rate": "taux d'apprentissage",
+        "neural network": "réseau de neurones",
+        "error": "erreur",
+        "hyperparameter": "hyperparamètre",
+        "optimization": "optimisation",
+        "oscillating": "oscillant",
+        "feedforward": "propagation avant",
+    },
+    "economy": {"interest rate": "taux d'intérêt", "gross domestic product": "produit intérieur brut", "inflation": "inflation"},
+    "politics": {"foreign policy": "politique étrangère", "rule of law": "état de droit", "public policy": "politique publique"},
+    "biology": {"cell membrane": "membrane cellulaire", "gene expression": "expression génique", "immune response": "réponse immunitaire"},
+    "general": {},
+}
+SEED_NORMALIZE = {
+    "science": {
+        "descent gradient": "descente de gradient",
+        "gradient descente": "descente de gradient",
+        "taux d’apprentissage": "taux d'apprentissage",
+        "réseau nerveux": "réseau de neurones",
+    },
+}
 KEYS = ["domain", "src", "tgt", "kind", "key"]
 
 
+def seed(spark) -> DataFrame:
+    """The seed glossary in the table's shape, loaded before all files."""
+    rows = [(d, "en", "fr", "entry", k, v) for d, entries in SEED.items() for k, v in entries.items()]
+    rows += [(d, "fr", "fr", "normalize", k, v) for d, entries in SEED_NORMALIZE.items() for k, v in entries.items()]
+    return spark.createDataFrame([(*r, i - len(rows)) for i, r in enumerate(rows)], SCHEMA)
+
+
 def clean_key(c) -> Column:
     return F.lower(T.clean_spaces(c))
 
@@ -64,18 +96,30 @@ def pair_map(domains: DataFrame, glossary: DataFrame, ident: str, general: bool
     return chain.join(safe.select(*KEYS[:3], "key", "value"), ["domain", "src", "tgt"]).groupBy(ident, "key").agg(F.max_by("value", "rank").alias("value"))
 
 
-def term_matches(items: DataFrame, terms: DataFrame, ident: str, most_words: int = 5) -> DataFrame:
+def _term_words(c) -> Column:
+    return F.regexp_extract_all(F.lower(T.clean_spaces(c)), F.lit(r"(?U)[\w'-]+"), F.lit(0))
+
+
+def term_matches(items: DataFrame, terms: DataFrame, ident: str) -> DataFrame:
     """Leftmost longest glossary terms in texts: (ident, at, n, key, value), at and n in words.
 
-    Texts are cut into words; each run of up to most_words words is looked up by an equi-join. Of
-    overlapping hits the longest at the leftmost place stays, found by a fold over a text's hits.
+    Texts and keys are cut into words; runs of the lengths that keys have, whatever these are, are looked
+    up by an equi-join. Of overlapping hits the longest at the leftmost place stays, found by a fold over a
+    text's hits. Keys of equal words give the smallest key.
     """
-    toks = F.regexp_extract_all(F.lower(T.clean_spaces("t")), F.lit(r"(?U)[\w'-]+"), F.lit(0))
-    d = items.select(ident, toks.alias("w")).filter(F.size("w") > 0)
-    d = d.select(ident, "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("at"))
-    d = d.select(ident, "at", "w", F.explode(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - F.col("at")))).alias("n"))
-    grams = d.select(ident, "at", "n", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("key"))
-    hits = grams.join(terms.select("key", "value"), "key")
+    known = terms.select("key", "value", _term_words("key").alias("__w")).filter(F.size("__w") > 0)
+    known = known.groupBy(F.array_join("__w", " ").alias("__k")).agg(F.min(F.struct("key", "value")).alias("e"), F.first(F.size("__w")).alias("__n"))
+    lengths = sorted(r[0] for r in known.select("__n").distinct().collect())  # few: one number per length of a term
+    d = items.select(ident, _term_words("t").alias("w")).filter(F.size("w") > 0)
+
+    def runs_of(n: int) -> Column:
+        run = lambda at: F.struct(at.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(F.col("w"), at + 1, n), " ").alias("__k"))
+        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), run)).otherwise(none)
+
+    none = F.expr("cast(array() as array<struct<at:int,n:int,__k:string>>)")
+    runs = [runs_of(n) for n in lengths]
+    grams = d.select(ident, F.explode(F.concat(*runs) if runs else none).alias("g")).select(ident, "g.at", "g.n", "g.__k")
+    hits = grams.join(known.select("__k", "e.key", "e.value"), "__k")
     best = hits.groupBy(ident, "at").agg(F.max_by(F.struct("n", "key", "value"), "n").alias("h"))
     row = F.struct("at", F.col("h.n").alias("n"), F.col("h.key").alias("key"), F.col("h.value").alias("value"))
     listed = best.groupBy(ident).agg(F.sort_array(F.collect_list(row)).alias("hits"))

@@ -42,7 +42,7 @@ SENTENCES = "list_filter(list_transform(string_split(regexp_replace({0}, '([.!?:
 
 
 def _markers(text: str, lang: str) -> str:
-    listed = ", ".join(f"'{w}'" for w in L.MARKERS[lang].split())
+    listed = ", ".join(f"'{w}'" for w in L.MARKERS[lang])
     return f"len(list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w IN ({listed})))"
 
 
@@ -199,12 +199,12 @@ def token_jaccard_pairs(spark, sf_dir):
     return d.select("doc_id", "other", F.round(T.jaccard(F.col("k"), F.col("j")), 9).alias("similarity"))
 
 
-LEXICON = {"ing": "ing,nting,edha", "tion": "tion,ation", "mente": "ment,mente", "ung": "ung,lich,keit"}
+LEXICON = {"ing": ("ing", "nting", "edha"), "tion": ("tion", "ation"), "mente": ("ment", "mente"), "ung": ("ung", "lich", "keit")}
 
 
 @_query(
     "WITH lex(domain, ord, ks) AS (VALUES "
-    + ", ".join(f"('{d}', {i}, [{', '.join(repr(k) for k in ks.split(','))}])" for i, (d, ks) in enumerate(LEXICON.items()))
+    + ", ".join(f"('{d}', {i}, [{', '.join(repr(k) for k in ks)}])" for i, (d, ks) in enumerate(LEXICON.items()))
     + """),
 s AS (SELECT doc_id, domain, ord, len(list_filter(ks, lambda k: contains(lower(coalesce(text, '')), k))) AS hits FROM documents, lex)
 SELECT doc_id, CASE WHEN max(hits) > 0 THEN arg_max(domain, hits * 100 - ord) ELSE 'general' END AS domain, max(hits) AS hits FROM s GROUP BY doc_id"""
@@ -388,21 +388,13 @@ def nearest_anchor(spark, sf_dir):
 
 @_query(
     f"""
-WITH RECURSIVE {LINES_SQL}, lab AS (SELECT doc_id, i, x0 - 4 AS x0, y0 - 4 AS y0, x1 + 4 AS x1, y1 + 4 AS y1 FROM lines WHERE i < 40),
-e AS (SELECT a.doc_id, a.i AS u, b.i AS v FROM lab a JOIN lab b ON a.doc_id = b.doc_id WHERE {CROSS} > 0),
-r AS (SELECT doc_id, u, v FROM e UNION SELECT r.doc_id, r.u, e.v FROM r JOIN e ON r.doc_id = e.doc_id AND r.v = e.u),
-c AS (SELECT doc_id, u AS i, min(v) AS low, count(DISTINCT v) AS n FROM r GROUP BY doc_id, u), t AS (SELECT doc_id, count(*) AS m FROM lab GROUP BY doc_id)
-SELECT doc_id, i::BIGINT AS i, (CASE WHEN n >= 3 AND m >= 3 THEN low ELSE i END)::BIGINT AS grp FROM c JOIN t USING (doc_id)"""
+WITH {LINES_SQL},
+p AS (SELECT *, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1, lag(y1) OVER w AS py1 FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT *, sum(CASE WHEN least(x1, px1) + 8 > greatest(x0, px0) AND y0 - 4 < py1 + 4 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM p)
+SELECT doc_id, i::BIGINT AS i, CASE WHEN count(*) OVER (PARTITION BY doc_id, island) >= 3 THEN min(i) OVER (PARTITION BY doc_id, island) ELSE i END::BIGINT AS grp FROM g"""
 )
 def diagram_components(spark, sf_dir):
-    lab = _lines(spark, sf_dir).filter("i < 40")
-    g = spatial.label_groups(lab, PAGE, "i", 4.0)
-    return g.select("doc_id", F.col("i").cast("long").alias("i"), F.col("grp").cast("long").alias("grp"))
-
-
-@_query()
-def diagram_components_whole(spark, sf_dir):
-    """diagram_components over all lines; its SQL, quadratic in a document's lines, has the first 40 only."""
+    """Components of all lines. On these pages a padded line meets its neighbours only, so the SQL needs no pairs."""
     g = spatial.label_groups(_lines(spark, sf_dir), PAGE, "i", 4.0)
     return g.select("doc_id", F.col("i").cast("long").alias("i"), F.col("grp").cast("long").alias("grp"))
 
@@ -530,16 +522,18 @@ def synset_first_wins(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
-    u = T.sentences("text")
-    d = _docs(spark, sf_dir).select("doc_id", "lang", u.alias("u")).filter(F.size("u") >= 2)
+    d = _docs(spark, sf_dir).select("doc_id", "lang", F.explode(F.array(T.sentences("text"))).alias("u")).filter(F.size("u") >= 2)
+    both = F.arrays_zip(F.slice("u", 1, F.size("u") - 1).alias("source"), F.slice("u", 2, F.size("u") - 1).alias("translation"))
+    d = d.select("doc_id", "lang", F.posexplode(both).alias("at", "p"))
     role = F.when(F.col("doc_id") % 5 == 0, "header").otherwise("body")
-    return d.select("doc_id", F.col("u")[0].alias("source"), F.col("u")[1].alias("translation"), role.alias("role"), F.col("lang").alias("tgt"))
+    return d.select("doc_id", F.col("at").cast("long").alias("at"), "p.source", "p.translation", role.alias("role"), F.col("lang").alias("tgt"))
 
 
 @_query(
     f"""
 WITH u AS (SELECT doc_id, lang, {SENTENCES.format(NORM.format('text'))} AS u FROM documents),
-p AS (SELECT doc_id, lang, u[1] AS s, u[2] AS t, CASE WHEN doc_id % 5 = 0 THEN 'header' ELSE 'body' END AS role FROM u WHERE len(u) >= 2),
+e AS (SELECT doc_id, lang, u, unnest(range(0, len(u) - 1)) AS k FROM u WHERE len(u) >= 2),
+p AS (SELECT doc_id, lang, k::BIGINT AS "at", u[k + 1] AS s, u[k + 2] AS t, CASE WHEN doc_id % 5 = 0 THEN 'header' ELSE 'body' END AS role FROM e),
 m AS (SELECT *, len({WORDS.format('s')}) AS n, len({WORDS.format('t')}) AS m, {_markers('t', 'en')} AS en, CASE lang WHEN 'en' THEN {_markers('t', 'en')} WHEN 'fr' THEN {_markers('t', 'fr')} WHEN 'es' THEN {_markers('t', 'es')} WHEN 'de' THEN {_markers('t', 'de')} ELSE 0 END AS tg FROM p),
 f AS (SELECT *, list_filter([CASE WHEN s = t THEN 'unchanged_translation' END, CASE WHEN n >= 5 AND m < greatest(3, floor(n * 0.45)) THEN 'too_short' END, CASE WHEN m > greatest(60, floor(greatest(1, n) * 2.7)) THEN 'too_long' END,
         CASE WHEN lang <> 'en' AND tg = 0 AND en >= 2 THEN 'english_leak' WHEN lang <> 'en' AND en > tg + 3 THEN 'mixed_language' END, CASE WHEN regexp_matches(t, '[!?]{{2,}}') THEN 'punctuation_noise' END,
@@ -547,25 +541,12 @@ f AS (SELECT *, list_filter([CASE WHEN s = t THEN 'unchanged_translation' END, C
         CASE WHEN length(s) - length(replace(s, '(', '')) <> length(t) - length(replace(t, '(', '')) OR length(s) - length(replace(s, ')', '')) <> length(t) - length(replace(t, ')', '')) THEN 'parenthesis_mismatch' END], lambda x: x IS NOT NULL) AS flags FROM m),
 g AS (SELECT *, 100 - coalesce(list_sum(list_transform(flags, lambda x: CASE x WHEN 'unchanged_translation' THEN 40 WHEN 'too_short' THEN 20 WHEN 'too_long' THEN 15 WHEN 'english_leak' THEN 25 WHEN 'mixed_language' THEN 12 WHEN 'punctuation_noise' THEN 10 WHEN 'source_fragment' THEN 6 ELSE 8 END)), 0) AS raw FROM f),
 h AS (SELECT *, greatest(0, least(100, CASE WHEN role = 'header' AND n <= 6 THEN greatest(raw, 70) ELSE raw END))::BIGINT AS score FROM g)
-SELECT doc_id, score, array_to_string(flags, ',') AS flags, CASE WHEN score < 72 THEN 'critical' WHEN score < 88 THEN 'review' ELSE 'ok' END AS status FROM h"""
+SELECT doc_id, "at", score, array_to_string(flags, ',') AS flags, CASE WHEN score < 72 THEN 'critical' WHEN score < 88 THEN 'review' ELSE 'ok' END AS status FROM h"""
 )
 def translation_quality(spark, sf_dir):
-    d = _pairs(spark, sf_dir)
-    q = L.quality("source", "translation", F.col("role"), F.col("tgt"))
-    d = d.select("doc_id", q.alias("q"))
-    return d.select("doc_id", F.col("q.score").cast("long").alias("score"), F.array_join("q.flags", ",").alias("flags"), F.col("q.status").alias("status"))
-
-
-@_query()
-def translation_quality_whole(spark, sf_dir):
-    """Quality of every pair of neighbouring sentences; translation_quality and its SQL take the first pair of a document."""
-    u = T.sentences("text")
-    d = _docs(spark, sf_dir).select("doc_id", "lang", u.alias("u")).filter(F.size("u") >= 2)
-    pairs = F.arrays_zip(F.slice("u", 1, F.size("u") - 1).alias("source"), F.slice("u", 2, F.size("u") - 1).alias("translation"))
-    d = d.select("doc_id", "lang", F.posexplode(pairs).alias("at", "p"))
-    role = F.when(F.col("doc_id") % 5 == 0, "header").otherwise("body")
-    d = d.select("doc_id", F.col("at").cast("long").alias("at"), L.quality("p.source", "p.translation", role, F.col("lang")).alias("q"))
-    return d.select("doc_id", "at", F.col("q.score").cast("long").alias("score"), F.array_join("q.flags", ",").alias("flags"), F.col("q.status").alias("status"))
+    """Every pair of neighbouring sentences."""
+    d = L.with_quality(_pairs(spark, sf_dir), F.col("source"), F.col("translation"), F.col("role"), F.col("tgt"))
+    return d.select("doc_id", "at", F.col("score").cast("long").alias("score"), F.array_join("flags", ",").alias("flags"), "status")
 
 
 @_query()
@@ -648,23 +629,13 @@ def quality_rollup(spark, sf_dir):
 @_query(
     f"""
 WITH {WORDBOX_SQL}, {ZONES_SQL},
-c AS (SELECT doc_id, count(*) AS words, count(*) FILTER (WHERE x1 > {WIDTH} OR y1 > {HEIGHT}) AS off_page_words FROM words GROUP BY doc_id),
+v AS (SELECT *, lag(x1) OVER (PARTITION BY doc_id, i ORDER BY x0, k) AS px1 FROM words),
+c AS (SELECT doc_id, count(*) AS words, count(*) FILTER (WHERE x1 > {WIDTH} OR y1 > {HEIGHT}) AS off_page_words, count(*) FILTER (WHERE x0 < px1) AS n_over FROM v GROUP BY doc_id),
 h AS (SELECT a.doc_id, count(*) AS n FROM lines a WHERE EXISTS (SELECT 1 FROM zones b WHERE b.doc_id = a.doc_id AND {CROSS} > 0 AND {CROSS} / least({AREA.format('a')}, {AREA.format('b')})::DOUBLE > 0.10) GROUP BY a.doc_id)
-SELECT doc_id, sum(words)::BIGINT AS words, sum(off_page_words)::BIGINT AS off_page_words, coalesce(sum(n), 0)::BIGINT AS text_image_collisions FROM c LEFT JOIN h USING (doc_id) GROUP BY ROLLUP (doc_id)"""
+SELECT doc_id, sum(words)::BIGINT AS words, sum(off_page_words)::BIGINT AS off_page_words, sum(n_over)::BIGINT AS word_overlaps, coalesce(sum(n), 0)::BIGINT AS text_image_collisions FROM c LEFT JOIN h USING (doc_id) GROUP BY ROLLUP (doc_id)"""
 )
 def layout_quality(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    words, lines, zones = views.words(docs), views.lines(docs), views.zones(docs)
-    pages = docs.select("doc_id", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
-    off = spatial.off_page(words, pages, PAGE)
-    hits = spatial.text_image_collisions(lines, zones, pages, PAGE)
-    none = words.limit(0)
-    return layout.quality_counts(words, off, none, hits, PAGE).drop("word_overlaps")
-
-
-@_query()
-def layout_quality_whole(spark, sf_dir):
-    """layout_quality with the overlapping word pairs, which its SQL leaves out."""
+    """All counts over all words. Words of these pages overlap in their own line only, so the SQL compares neighbours."""
     docs = _docs(spark, sf_dir)
     words, lines, zones = views.words(docs), views.lines(docs), views.zones(docs)
     pages = docs.select("doc_id", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))

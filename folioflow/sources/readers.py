@@ -218,7 +218,8 @@ def markdown_glossary(spark: SparkSession, path: str) -> DataFrame:
 
 def wordnet_tab(spark: SparkSession, path: str) -> DataFrame:
     """path, lang, synset, lemma, ord of WordNet tab files; comments and rows that are no lemma are left out."""
-    d = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("ord"))
+    d = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "value"))
+    d = d.withColumn("ord", F.struct("path", "at"))  # files by path, lines by place, however the read is split
     p = F.split("value", "\t")
     d = d.filter((F.trim("value") != "") & ~F.col("value").startswith("#") & (F.size(p) >= 3)).filter(F.get(p, F.lit(1)).endswith(":lemma"))
     lang = F.regexp_extract("path", r"wn-(?:data-|[a-z0-9]+-)?([a-z]{2,3})\.tab$", 1)
@@ -235,9 +236,9 @@ def fonts(files: DataFrame) -> DataFrame:
 
 def mapping_lines(spark: SparkSession, path: str) -> DataFrame:
     """(ord, key, value) of "key: value" lines and of "- item" lists (key is then the list's name)."""
-    d = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.col("value").alias("row"))
+    d = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("ord", "row"))
     head = F.regexp_extract("row", r"^([A-Za-z0-9_]+):\s*$", 1)
-    w = W.orderBy("ord").rowsBetween(W.unboundedPreceding, 0)  # a class list is one small file
+    w = W.partitionBy("path").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("list", F.last(F.nullif(head, F.lit("")), ignorenulls=True).over(w))
     item, k, v = F.regexp_extract("row", r"^\s*-\s*(.+)$", 1), F.regexp_extract("row", r"^\s*([^:#-][^:]*):\s*(.+)$", 1), F.regexp_extract("row", r"^\s*([^:#-][^:]*):\s*(.+)$", 2)
     return d.select("ord", F.when(item != "", F.col("list")).otherwise(F.trim(k)).alias("key"), F.trim(F.when(item != "", item).otherwise(v)).alias("value")).filter("value != ''")

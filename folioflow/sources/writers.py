@@ -31,7 +31,7 @@ def layout_xml(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, xml): document_layout with blocks, lines and their text. lines: keys, block_id, role, i, t and a box."""
     line = F.concat(F.lit('<line index="'), F.col("i").cast("string"), F.lit('" bbox="'), box_text(), F.lit('"><text>'), xml_escape("t"), F.lit("</text></line>"))
     d = lines.withColumn("line", line).groupBy(*keys, "block_id").agg(
-        F.first("role").alias("role"),
+        F.min_by("role", "i").alias("role"),
         F.min("i").alias("first"),
         F.min("x0").alias("x0"),
         F.min("y0").alias("y0"),

@@ -190,9 +190,9 @@ def test_whole_pages(spark, tmp_path):
     run = lambda n: queries.QUERIES[n](spark, str(tmp_path)).collect()
     # Of each line words 0 and 3 come twice, and the wide copy covers the word.
     assert [r.n for r in run("word_dedupe")] == [60 * 4]
-    whole = {r.i: r.grp for r in run("diagram_components_whole")}
+    whole = {r.i: r.grp for r in run("diagram_components")}
     assert sorted(whole) == list(range(60)) and whole[59] == 54
-    assert {r.doc_id: (r.words, r.word_overlaps) for r in run("layout_quality_whole")} == {1: (240, 0), None: (240, 0)}
+    assert {r.doc_id: (r.words, r.word_overlaps) for r in run("layout_quality")} == {1: (240, 0), None: (240, 0)}
     rng = random.Random(4)
     boxes = [(k // 80, k, x, y, x + rng.randint(0, 60), y + rng.randint(0, 90), rng.choice(("a", "ab", "b"))) for k in range(160) for x, y in [(rng.randint(-50, 200), rng.randint(-50, 200))]]
     df = spark.createDataFrame(boxes, "doc_id long, word_id long, x0 long, y0 long, x1 long, y1 long, label string")
@@ -225,7 +225,63 @@ def test_all_sentences(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     run = lambda n: queries.QUERIES[n](spark, str(tmp_path)).collect()
     assert sum(r.n for r in run("staged_translation")) == 12
-    pairs = run("translation_quality_whole")
+    pairs = run("translation_quality")
     assert sorted((r.doc_id, r.at) for r in pairs) == [(1, i) for i in range(8)] + [(3, 0)]
-    first = {r.doc_id: (r.score, r.flags, r.status) for r in run("translation_quality")}
-    assert {r.doc_id: (r.score, r.flags, r.status) for r in pairs if r.at == 0} == first
+    from folioflow.functions import language
+
+    both = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("doc_id", "split(text, '[.] ?') u", "lang").selectExpr("doc_id", "u[0] a", "u[1] b", "lang").filter("b is not null")
+    q = both.select("doc_id", language.quality(F.concat("a", F.lit(".")), F.concat("b", F.lit(".")), F.lit("body"), F.col("lang")).alias("q")).filter("doc_id != 2").collect()
+    assert {r.doc_id: (r.q.score, ",".join(r.q.flags), r.q.status) for r in q} == {r.doc_id: (r.score, r.flags, r.status) for r in pairs if r.at == 0}
+
+
+def test_terms_of_any_length(spark):
+    """Leftmost longest terms by brute force; keys of nine words and keys with punctuation match too."""
+    rng = random.Random(2)
+    vocab = "a b c d".split()
+    keys = sorted({" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 9))) for _ in range(40)}) + ["e, f! g"]
+    texts = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 40)))) for i in range(30)] + [(99, "x e f g y"), (100, None)]
+    terms = spark.createDataFrame([(k, k.upper()) for k in keys], "key string, value string")
+    got = sorted((r.id, r.at, r.key) for r in glossary.term_matches(spark.createDataFrame(texts, "id long, t string"), terms, "id").collect())
+    words = {tuple(k.replace(",", "").replace("!", "").split()): k for k in keys}
+    want = []
+    for i, t in texts:
+        w, at = (t or "").split(), 0
+        while at < len(w):
+            n = max((n for n in range(1, len(w) - at + 1) if tuple(w[at : at + n]) in words), default=0)
+            if n:
+                want.append((i, at, words[tuple(w[at : at + n])]))
+            at += n or 1
+    assert got == sorted(want) and any(len(k.split()) > 5 for _, _, k in got)
+    assert glossary.term_matches(spark.createDataFrame(texts, "id long, t string"), terms.limit(0), "id").collect() == []
+
+
+def test_seed_glossary(spark):
+    from folioflow.functions import language
+
+    g = glossary.seed(spark)
+    assert g.filter("kind = 'entry'").count() == 17 and g.filter("kind = 'normalize'").count() == 4
+    items = spark.createDataFrame([(1, "Learning  rate", "science", "", "en", "fr"), (2, "nothing", "science", "", "en", "fr")], "id long, t string, domain string, subdomain string, src string, tgt string")
+    assert [tuple(r) for r in glossary.exact_lookup(items, g, "id").collect()] == [(1, "taux d'apprentissage")]
+    d = spark.createDataFrame([("Science", "the galaxy and a planet"), ("science", "nothing"), ("cooking", "force")], "d string, t string")
+    assert [r[0] for r in d.select(language.subdomain_of("t", F.col("d"))).collect()] == ["astronomy", "", ""]
+
+
+def test_block_predicates(spark):
+    from folioflow.operators import blocks as B
+
+    row = spark.createDataFrame([(1,)], "x int")
+    one = lambda c: row.select(c).first()[0]
+    part = lambda *ps: F.array(*[F.struct(F.lit(a).alias("texte"), F.lit(b).alias("translated_text")) for a, b in ps])
+    span = lambda *ps: F.array(*[F.struct(F.lit(a).alias("texte"), F.lit(b).alias("skip_render")) for a, b in ps])
+    assert one(B.is_translated(F.lit("a"), F.lit("b"), part(("x", None)))) and not one(B.is_translated(F.lit("a"), F.lit("a"), part(("x", "x"), ("y", ""))))
+    assert one(B.is_translated(F.lit(None).cast("string"), F.lit("t"), part(("x", None)))) and one(B.is_translated(F.lit("a"), F.lit(""), part(("x", "z"))))
+    assert one(B.phrase_text(F.lit("whole"), span(("a ", False), ("b", True), ("c", None)))) == "a c"
+    assert one(B.phrase_text(F.lit(" whole "), span(("b", True)))) == "whole"
+    assert one(B.without_skipped(F.lit("Say Hi there hi  THERE now"), span(("hi there", True), ("now", False)))) == "Say hi THERE now"
+    assert one(B.without_skipped(F.lit("a.b axb"), span(("a.b", True)))) == "axb"
+    unresolved = lambda *v: one(B.is_font_unresolved(*[F.lit(x).cast("string") for x in v]))
+    assert unresolved("native", "Garamond", None, "helv") and not unresolved("native", "Arial", None, "helv") and not unresolved("ocr", "Garamond", None, "helv")
+    assert one(B.is_font_excluded(F.lit("k"), F.lit("/Fonts/Emoji.ttf"), "emoji")) and not one(B.is_font_excluded(F.lit("k"), F.lit("p"), None))
+    assert one(B.softmax_top(F.array(F.lit(1.0), F.lit(3.0), F.lit(3.0))))["at"] == 1
+    phrases = spark.createDataFrame([(1, "own", "s0", [("a", True, "s1"), ("b", False, None)]), (2, "alone", "s2", [])], "id long, t string, style string, spans array<struct<texte:string,skip_render:boolean,style:string>>")
+    assert sorted(map(tuple, B.spans(phrases, ["id"]).collect())) == [(1, 0, "a", "s1"), (1, 1, "b", "s0"), (2, 0, "alone", "s2")]

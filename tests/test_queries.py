@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from folioflow.plans import queries
+from folioflow.plans import block_queries, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
