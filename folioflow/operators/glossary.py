@@ -128,6 +128,18 @@ def term_matches(items: DataFrame, terms: DataFrame, ident: str) -> DataFrame:
     return listed.select(ident, F.explode(F.aggregate("hits", start, step, lambda a: a["out"])).alias("m")).select(ident, "m.at", "m.n", "m.key", "m.value")
 
 
+def matching_rules(items: DataFrame, glossary: DataFrame, ident: str, general: bool = False) -> DataFrame:
+    """(ident, key, value): the safe entries of an item's chain whose key stands in its text; less specific domains override.
+
+    The same rows as pair_map has for these keys, found through the text's runs of words, so items don't
+    meet the whole glossary.
+    """
+    safe = glossary.filter("kind = 'entry'").filter(T.is_safe_glossary_key("key"))
+    held = term_matches(items, safe.select("key", F.col("key").alias("value")).distinct(), ident).select(ident, "key").distinct()
+    chain = items.select(ident, "src", "tgt", F.posexplode(priority_chain(F.col("domain"), F.col("subdomain"), general)).alias("rank", "domain"))
+    return chain.join(held, ident).join(safe.select(*KEYS[:3], "key", "value"), [*KEYS[:3], "key"]).groupBy(ident, "key").agg(F.max_by("value", "rank").alias("value"))
+
+
 def replace_terms(items: DataFrame, rules: DataFrame, ident: str) -> DataFrame:
     """(ident, t): word-bounded, case-insensitive replacement of keys by values, longest key first.
 

@@ -68,26 +68,30 @@ def normalized_translation(translated, original, target: Column, rules=()) -> Co
     return T.without_repeats(T.fix_punctuation(s))
 
 
-def translate(items: DataFrame, glossary: DataFrame, backend: Backend = identity, ident: str = "id", rules=()) -> DataFrame:
+def translate(items: DataFrame, glossary: DataFrame, backend: Backend = identity, ident: str = "id", fixes=()) -> DataFrame:
     """ident, source, translation, stage, score, flags, status, gate_ok.
 
     items: ident, t, role, domain, subdomain, src, tgt. Protected text stays; then a connector
-    fragment, a whole-text glossary entry, and the back-end's acceptable answer; else the source text.
+    fragment, a whole-text glossary entry, and the back-end's acceptable answer; else the source text with
+    the glossary's terms in it replaced.
     """
     d = items.withColumn("source", T.clean_spaces("t")).withColumn("__protected", T.is_protected("t", F.col("role")))
     exact = G.exact_lookup(items, glossary, ident).withColumnRenamed("value", "__exact")
     d = d.join(exact, ident, "left")
+    rules = G.matching_rules(items, glossary, ident)
+    forced = G.replace_terms(items.join(rules.select(ident).distinct(), ident, "left_semi"), rules, ident)
+    d = d.join(forced.select(ident, F.col("t").alias("__forced")), ident, "left")
     d = translate_distinct(d.withColumn("__q", T.sanitize_source("t")), backend, "__q")
-    model = normalized_translation(T.restore_acronyms("source", T.sanitize_translation("raw", "source")), "source", F.col("tgt"), rules)
+    model = normalized_translation(T.restore_acronyms("source", T.sanitize_translation("raw", "source")), "source", F.col("tgt"), fixes)
     d = d.withColumn("__model", model)
     short = F.when((F.col("src") == "en") & (F.col("tgt") == "fr"), T.connector_fragment("source"))
-    good = T.is_acceptable_translation("source", "__model")
-    stage = F.when(F.col("__protected"), "protected").when(short.isNotNull(), "connector").when(F.col("__exact").isNotNull(), "glossary").when(good, "model").otherwise("source")
+    good = T.is_acceptable_translation("source", "__model") & (T.clean_spaces("raw") != "")
+    stage = F.when(F.col("__protected"), "protected").when(short.isNotNull(), "connector").when(F.col("__exact").isNotNull(), "glossary").when(good, "model").when(T.clean_spaces("__forced") != F.col("source"), "terms").otherwise("source")
     d = d.withColumn("__short", short).withColumn("stage", stage)
-    pick = F.when(F.col("stage") == "connector", F.col("__short")).when(F.col("stage") == "glossary", F.col("__exact")).when(F.col("stage") == "model", F.col("__model")).otherwise(F.col("source"))
+    pick = F.when(F.col("stage") == "connector", F.col("__short")).when(F.col("stage") == "glossary", F.col("__exact")).when(F.col("stage") == "model", F.col("__model")).when(F.col("stage") == "terms", T.clean_spaces("__forced")).otherwise(F.col("source"))
     d = d.withColumn("translation", pick)
-    q = L.quality("source", "translation", F.col("role"), F.col("tgt"), F.col("__protected"))
-    return d.withColumn("__q2", q).select(ident, "source", "translation", "stage", "__q2.score", "__q2.flags", "__q2.status", L.gate_ok("translation", F.col("tgt"), F.col("src")).alias("gate_ok"))
+    d = L.with_quality(d, F.col("source"), F.col("translation"), F.col("role"), F.col("tgt"), F.col("__protected"))
+    return d.select(ident, "source", "translation", "stage", "score", "flags", "status", L.gate_ok("translation", F.col("tgt"), F.col("src")).alias("gate_ok"))
 
 
 def best_candidate(items: DataFrame, candidates: list[str], target: Column) -> Column:

@@ -239,7 +239,7 @@ def test_terms_of_any_length(spark):
     rng = random.Random(2)
     vocab = "a b c d".split()
     keys = sorted({" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 9))) for _ in range(40)}) + ["e, f! g"]
-    texts = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 40)))) for i in range(30)] + [(99, "x e f g y"), (100, None)]
+    texts = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 40)))) for i in range(30)] + [(99, "x e f g y"), (100, None), (101, "b " + max(keys, key=len))]
     terms = spark.createDataFrame([(k, k.upper()) for k in keys], "key string, value string")
     got = sorted((r.id, r.at, r.key) for r in glossary.term_matches(spark.createDataFrame(texts, "id long, t string"), terms, "id").collect())
     words = {tuple(k.replace(",", "").replace("!", "").split()): k for k in keys}
@@ -285,3 +285,13 @@ def test_block_predicates(spark):
     assert one(B.softmax_top(F.array(F.lit(1.0), F.lit(3.0), F.lit(3.0))))["at"] == 1
     phrases = spark.createDataFrame([(1, "own", "s0", [("a", True, "s1"), ("b", False, None)]), (2, "alone", "s2", [])], "id long, t string, style string, spans array<struct<texte:string,skip_render:boolean,style:string>>")
     assert sorted(map(tuple, B.spans(phrases, ["id"]).collect())) == [(1, 0, "a", "s1"), (1, 1, "b", "s0"), (2, 0, "alone", "s2")]
+
+
+def test_forced_terms(spark):
+    """A text without an acceptable translation keeps its words but for the terms of its domains."""
+    g = glossary.seed(spark)
+    rows = [(1, "The neural network has a learning rate here.", "body", "science", "", "en", "fr"), (2, "The neural network has a learning rate here.", "body", "economy", "", "en", "fr")]
+    items = spark.createDataFrame(rows, "id long, t string, role string, domain string, subdomain string, src string, tgt string")
+    refuse = lambda texts, src, tgt: ["" for _ in texts]
+    got = {r.id: (r.stage, r.translation) for r in translate.translate(items, g, refuse).collect()}
+    assert got[1] == ("terms", "The réseau de neurones has a taux d'apprentissage here.") and got[2] == ("source", rows[1][1])
