@@ -86,7 +86,8 @@ def translate(items: DataFrame, glossary: DataFrame, backend: Backend = identity
     d = d.withColumn("__model", model)
     short = F.when((F.col("src") == "en") & (F.col("tgt") == "fr"), T.connector_fragment("source"))
     good = T.is_acceptable_translation("source", "__model") & (T.clean_spaces("raw") != "")
-    stage = F.when(F.col("__protected"), "protected").when(short.isNotNull(), "connector").when(F.col("__exact").isNotNull(), "glossary").when(good, "model").when(T.clean_spaces("__forced") != F.col("source"), "terms").otherwise("source")
+    changed = F.col("__forced").isNotNull() & (T.clean_spaces("__forced") != F.col("source"))
+    stage = F.when(F.col("__protected"), "protected").when(short.isNotNull(), "connector").when(F.col("__exact").isNotNull(), "glossary").when(good, "model").when(changed, "terms").otherwise("source")
     d = d.withColumn("__short", short).withColumn("stage", stage)
     pick = F.when(F.col("stage") == "connector", F.col("__short")).when(F.col("stage") == "glossary", F.col("__exact")).when(F.col("stage") == "model", F.col("__model")).when(F.col("stage") == "terms", T.clean_spaces("__forced")).otherwise(F.col("source"))
     d = d.withColumn("translation", pick)
