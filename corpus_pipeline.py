@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from folioflow.llm import bpe, exact_dedup, mixing, near_texts, toxicity
 from folioflow.llm.common import stash, table
 
 
@@ -26,8 +26,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-equal fingerprints."""
-    return simhash.keep_rows(docs)
+    """One document of each component of texts whose 5-word shingles have a similarity of 0.8 or more."""
+    return near_texts.keep_rows(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
