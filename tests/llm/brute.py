@@ -55,6 +55,32 @@ def components(fps):
     return [low[find(i)] for i in range(len(fps))]
 
 
+def near_components(rows, least=0.8):
+    """rows: [(id, text)] -> smallest id reachable over texts whose 5-word shingles have that Jaccard similarity."""
+    sets = []
+    for _, t in rows:
+        w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    holders, root = defaultdict(list), list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        shared = Counter(j for x in s for j in holders[x])
+        for j, m in shared.items():
+            if m / (len(s) + len(sets[j]) - m) >= least:
+                root[find(i)] = find(j)
+        for x in s:
+            holders[x].append(i)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        low[find(i)] = min(low.get(find(i), d), d)
+    return [low[find(i)] for i in range(len(rows))]
+
+
 def secrets(text):
     text, out = text or "", []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII):

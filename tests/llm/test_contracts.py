@@ -2,12 +2,14 @@
 
 import base64
 import hashlib
+import random
 from collections import defaultdict
 
 import brute
+import numpy as np
 import pytest
 
-from folioflow.llm import bpe, exact_dedup, mixing, quality, queries, secrets, simhash
+from folioflow.llm import bpe, exact_dedup, mixing, near_texts, quality, queries, secrets, simhash
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string, fp string"
@@ -165,15 +167,43 @@ def test_openssh_blob_once():
     assert secrets.scan(f"x {blob}") == [(2, 2 + len(blob), "openssh")]
 
 
-def test_simhash_keeps_each_component(spark):
+def test_near_texts_keep_each_component(spark):
     """Unrelated texts without an id, or with one id, are components of their own; each leaves one row."""
     text = lambda w: " ".join(f"{w}{i}" for i in range(60))
     rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (4, text("c")), (None, None), (None, "")]
-    got = simhash.keep_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = near_texts.keep_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(None, text("a")), (None, text("b")), (4, text("c")), (7, text("d")), (7, text("e")), (None, "")]
     assert sorted(str((r.doc_id, r.text or "")) for r in got) == sorted(map(str, want))
 
 
+def test_near_texts(spark, docs, edge, empty):
+    """Chains of edited copies and the small table, with groups whole and cut into chunks, as brute force."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    rows, line = [], list(base)
+    for i in range(90):
+        line[rng.randrange(len(line))] = f"n{i}"
+        rows.append((i, " ".join(line if i % 3 else base[: rng.randrange(1, 120)])))
+    rows += [(200, "One two THREE"), (201, "one  two\nthree"), (202, "one two four"), (203, "é" * 9), (204, "É" * 9)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    for frame, chunk in ((made, 10**6), (made, 300), (docs, 10**6)):
+        data = [(r.doc_id, r.text) for r in frame.collect()]
+        got = sorted(r.doc_id for r in near_texts.keep_rows(frame, chunk_shingles=chunk).collect())
+        assert got == sorted(set(brute.near_components(data)))
+    assert near_texts.keep_rows(edge).columns == edge.columns
+    assert near_texts.keep_rows(empty).collect() == []
+
+
+def test_far_counts_bits():
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(1 << 63, size=640, dtype=np.uint64) for _ in range(2))
+    b[:300] = a[:300] ^ (np.uint64(1) << rng.integers(0, 63, 300).astype(np.uint64))
+    for radius in (0, 1, 3, 24, 31, 63):
+        p = simhash.planes(a ^ b)
+        over = near_texts.far(iter(p), p.shape[1:], radius)
+        assert (np.unpackbits(over.view(np.uint8), bitorder="little").astype(bool) == (np.bitwise_count(a ^ b) > radius)).all()
+
+
 def reference_encoding():
     import public_tokenizers as P
     import tiktoken
