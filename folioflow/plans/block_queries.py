@@ -9,8 +9,9 @@ from ..functions import geometry as G
 from ..functions import language as L
 from ..functions import text as T
 from ..operators import blocks as B
-from ..operators import glossary, layout, spatial, structure, units
+from ..operators import fonts, glossary, layout, page_joins, spatial, structure, units
 from ..sources import layout_views as views
+from ..sources import profiles
 from .queries import AREA, BLOCKS_SQL, CROSS, LINES_SQL, NORM, PAGE, STYLES_SQL, WORDBOX_SQL, ZONES_SQL, _blocks, _docs, _lines, _query, _styles, _table
 
 _long = lambda c: F.col(c).cast("long").alias(c)
@@ -238,3 +239,115 @@ SELECT c_custkey, printf('#%02x%02x%02x', r::INT, g::INT, b::INT) AS color, prin
 def color_buckets(spark, sf_dir):
     c = _table(spark, sf_dir, "customer").select("c_custkey", G.int_color(F.col("c_custkey") * 7919).alias("color"))
     return c.select("c_custkey", "color", G.color_bucket(F.col("color")).alias("bucket"))
+
+
+_FONT_NAMES = ("ABCDEE+Calibri-Bold", "Arial", "LiberationSans-Italic", "Times New Roman", "Consolas", "Unknown", "", "Carlito")
+_FONT_FILES = (("liberationsans", "/f/LiberationSans-Regular.ttf"), ("liberationsans", "/f/LiberationSans-Bold.ttf"), ("liberationsans", "/f/LiberationSans-BoldItalic.ttf"), ("carlito", "/f/Carlito-DemiOblique.ttf"), ("carlito", "/f/Carlito.ttf"), ("freemono", "/f/FreeMono.ttf"))
+
+
+@_query(
+    f"""
+WITH files AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{p}', {i})" for i, (k, p) in enumerate(_FONT_FILES))}) v(key, path, ord)),
+s AS (SELECT p_partkey, {list(_FONT_NAMES)}[(p_partkey % 8)::INT + 1] AS font, p_partkey % 2 = 0 AS bold, p_partkey % 3 = 0 AS italic, p_partkey % 5 = 0 AS serif, p_partkey % 7 = 0 AS mono FROM part),
+k AS (SELECT *, CASE WHEN font IN ('ABCDEE+Calibri-Bold', 'Carlito') THEN 'carlito' WHEN font IN ('Arial', 'LiberationSans-Italic') THEN 'liberationsans' WHEN font = 'Consolas' THEN 'freemono' END AS key FROM s),
+f AS (SELECT p_partkey, arg_min(path, -10 * ((bold = regexp_matches(lower(path), 'bold|demi'))::INT + (italic = regexp_matches(lower(path), 'italic|oblique'))::INT) + ord) AS file FROM k JOIN files USING (key) GROUP BY p_partkey)
+SELECT p_partkey, file, CASE WHEN file IS NOT NULL THEN NULL
+    WHEN mono THEN CASE WHEN bold AND italic THEN 'cobi' WHEN bold THEN 'cobo' WHEN italic THEN 'coit' ELSE 'cour' END
+    WHEN serif THEN CASE WHEN bold AND italic THEN 'tibi' WHEN bold THEN 'tibo' WHEN italic THEN 'tiit' ELSE 'tiro' END
+    WHEN bold AND italic THEN 'hebi' WHEN bold THEN 'hebo' WHEN italic THEN 'heit' ELSE 'helv' END AS builtin FROM k LEFT JOIN f USING (p_partkey)"""
+)
+def font_files(spark, sf_dir):
+    name = F.element_at(F.array(*[F.lit(x) for x in _FONT_NAMES]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    every = lambda n: F.col("p_partkey") % n == 0
+    s = _table(spark, sf_dir, "part").select("p_partkey", name.alias("font"), every(2).alias("bold"), every(3).alias("italic"), every(5).alias("serif"), every(7).alias("mono"))
+    catalog = spark.createDataFrame([(k, p, i) for i, (k, p) in enumerate(_FONT_FILES)], "key string, path string, ord int")
+    return fonts.resolve(s, catalog).select("p_partkey", "file", "builtin")
+
+
+_PLAIN = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
+
+
+@_query(
+    f"""
+WITH cat AS (SELECT {_PLAIN.format('n_name')} AS key, concat('/n/', n_name) AS path, n_nationkey AS ord FROM nation WHERE n_nationkey % 4 = 0
+             UNION ALL SELECT concat('font', {_PLAIN.format('n_name')}, 'x'), concat('/f/', n_name), 100 + n_nationkey FROM nation WHERE n_nationkey % 6 = 3
+             UNION ALL SELECT 'an', '/short/an', 200 UNION ALL SELECT 'in', '/short/in', 50),
+c AS (SELECT n_name AS class_name, {_PLAIN.format('n_name')} AS own, CASE WHEN n_nationkey % 3 = 0 THEN concat('font', {_PLAIN.format('n_name')}, 'x') END AS mapped FROM nation),
+x AS (SELECT class_name, own, coalesce(arg_min(a.path, a.ord), arg_min(b.path, b.ord)) AS path FROM c LEFT JOIN cat a ON a.key = c.mapped LEFT JOIN cat b ON b.key = c.own GROUP BY class_name, own),
+y AS (SELECT class_name, arg_min(cat.path, ord) AS path FROM x JOIN cat ON contains(key, own) OR contains(own, key) GROUP BY class_name)
+SELECT class_name, coalesce(x.path, y.path) AS path FROM x LEFT JOIN y USING (class_name)"""
+)
+def font_class_files(spark, sf_dir):
+    n = _table(spark, sf_dir, "nation")
+    plain = F.regexp_replace(F.lower("n_name"), "[^a-z0-9]+", "")
+    catalog = n.filter("n_nationkey % 4 = 0").select(plain.alias("key"), F.concat(F.lit("/n/"), "n_name").alias("path"), F.col("n_nationkey").cast("int").alias("ord"))
+    catalog = catalog.unionByName(n.filter("n_nationkey % 6 = 3").select(F.concat(F.lit("font"), plain, F.lit("x")).alias("key"), F.concat(F.lit("/f/"), "n_name").alias("path"), (F.col("n_nationkey") + 100).cast("int").alias("ord")))
+    catalog = catalog.unionByName(spark.createDataFrame([("an", "/short/an", 200), ("in", "/short/in", 50)], "key string, path string, ord int"))
+    mapping = n.filter("n_nationkey % 3 = 0").select(F.col("n_name").alias("class_name"), F.concat(F.lit("Font "), "n_name", F.lit("-X.ttf")).alias("mapped"))
+    return fonts.class_files(n.select(F.col("n_name").alias("class_name")), mapping, catalog)
+
+
+@_query(
+    f"""
+WITH {LINES_SQL},
+b AS (SELECT doc_id, i // 5 AS block, i % 5 AS i, t, i AS pos FROM lines),
+s AS (SELECT *, CASE WHEN pos % 4 = 0 THEN '' ELSE t || '!' END AS text FROM b WHERE pos % 3 <> 1),
+w AS (SELECT doc_id, block, trim(string_agg(text, chr(10) ORDER BY i) FILTER (WHERE text <> '')) AS whole FROM s GROUP BY doc_id, block)
+SELECT b.doc_id, b.block::BIGINT AS block, b.i::BIGINT AS i, (s.pos + 1)::BIGINT AS line_index, CASE WHEN s.pos IS NULL THEN NULL WHEN s.pos % 7 = 0 THEN '' ELSE '-' END AS marker,
+       CASE WHEN s.pos % 11 = 0 THEN 0 ELSE (s.pos % 5) * 1.5 END::DOUBLE AS indent, s.pos % 2 = 0 AS break_before, CASE WHEN s.pos IS NOT NULL THEN true END AS break_after,
+       md5(CASE WHEN s.text <> '' THEN s.text ELSE b.t END) AS line_digest, md5(w.whole) AS block_digest
+FROM b LEFT JOIN s ON b.doc_id = s.doc_id AND b.pos = s.pos LEFT JOIN w ON b.doc_id = w.doc_id AND b.block = w.block"""
+)
+def layout_line_join(spark, sf_dir):
+    d = _lines(spark, sf_dir).select("doc_id", F.floor(F.col("i") / 5).cast("long").alias("block"), (F.col("i") % 5).cast("long").alias("i"), "t", F.col("i").cast("long").alias("at"))
+    stored = d.filter("at % 3 <> 1").select(
+        "doc_id",
+        "block",
+        "i",
+        (F.col("at") + 1).alias("index"),
+        F.when(F.col("at") % 7 != 0, "-").alias("marker"),
+        F.when(F.col("at") % 11 != 0, (F.col("at") % 5) * 1.5).alias("indent"),
+        (F.col("at") % 2 == 0).alias("break_before"),
+        F.lit(None).cast("boolean").alias("break_after"),
+        F.when(F.col("at") % 4 == 0, "").otherwise(F.concat("t", F.lit("!"))).alias("text"),
+    )
+    out = page_joins.with_layout(d.drop("at"), stored, PAGE)
+    return out.select("doc_id", "block", "i", "line_index", "marker", "indent", "break_before", "break_after", F.md5("line_text").alias("line_digest"), F.md5("block_text").alias("block_digest"))
+
+
+@_query(
+    f"""
+WITH {LINES_SQL}, {ZONES_SQL},
+o AS (SELECT *, (x1 - x0) * (y1 - y0) >= 4500 AS large FROM lines),
+r AS (SELECT doc_id, false AS translated, 'zone' AS origin, x0, y0, x1, y1 FROM zones
+      UNION ALL SELECT doc_id, false, origin, x0, y0, x1, y1 FROM o, (VALUES ('image'), ('overlay')) v(origin)
+      UNION ALL SELECT doc_id, true, 'image', x0, y0, x1, y1 FROM o WHERE large
+      UNION ALL SELECT doc_id, true, 'overlay', x0, y0, x1, y1 FROM o WHERE large OR i % 10 IN (0, 1))
+SELECT doc_id, translated, origin, count(*) AS n, sum((x1 - x0) * (y1 - y0))::DOUBLE / 4 AS area FROM r GROUP BY doc_id, translated, origin"""
+)
+def forbidden_zones(spark, sf_dir):
+    zones, lines = views.zones(_docs(spark, sf_dir)), _lines(spark, sf_dir)
+    overlays = lines.withColumn("kind", F.when(F.col("i") % 10 == 0, "Diagram_Block").when(F.col("i") % 10 == 1, "").otherwise("symbol")).withColumn("reason", F.lit("diagram_block"))
+    out = [page_joins.forbidden_zones(zones, lines, overlays, PAGE, t, 0.5).withColumn("translated", F.lit(t)) for t in (False, True)]
+    size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    return out[0].unionByName(out[1]).groupBy("doc_id", "translated", "origin").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("area"))
+
+
+_SETTINGS = ", ".join(f"('{s}', '{n}', '{v}')" for s, names in profiles.DEFAULTS.items() for n, v in names.items())
+
+
+@_query(
+    f"""
+WITH over_ AS (SELECT ['default', 'fr', 'de'][(s_suppkey % 3)::INT + 1] AS profile, CASE WHEN s_suppkey % 2 = 1 THEN 'quality_penalties' ELSE 'post_edit' END AS section, ['too_short', 'own_rule', 'weak_connectors'][(s_suppkey % 5 % 3)::INT + 1] AS name, max(s_name) AS value FROM supplier GROUP BY 1, 2, 3),
+base AS (SELECT 'default' AS profile, section, name, value FROM (VALUES {_SETTINGS}) v(section, name, value)),
+every AS (SELECT * FROM over_ UNION ALL SELECT * FROM base WHERE NOT EXISTS (SELECT 1 FROM over_ o WHERE o.profile = base.profile AND o.section = base.section AND o.name = base.name)),
+r AS (SELECT lang, section, name, value, CASE WHEN profile = 'default' THEN 1 ELSE 0 END AS rank FROM (VALUES ('fr'), ('de'), ('es')) l(lang) JOIN every ON profile = 'default' OR profile = lang)
+SELECT lang, section, name, arg_min(value, rank) AS value FROM r GROUP BY lang, section, name"""
+)
+def profile_settings(spark, sf_dir):
+    pick = lambda names, at: F.element_at(F.array(*[F.lit(x) for x in names]), (at + 1).cast("int"))
+    key = F.col("s_suppkey")
+    rows = _table(spark, sf_dir, "supplier").select(pick(("default", "fr", "de"), key % 3).alias("profile"), F.when(key % 2 == 1, "quality_penalties").otherwise("post_edit").alias("section"), pick(("too_short", "own_rule", "weak_connectors"), key % 5 % 3).alias("name"), "s_name")
+    own = rows.groupBy("profile", "section", "name").agg(F.max("s_name").alias("value"))
+    langs = spark.createDataFrame([("fr",), ("de",), ("es",)], "lang string")
+    return profiles.for_languages(profiles.overlay(profiles.defaults(spark), own), langs)

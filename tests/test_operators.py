@@ -295,3 +295,26 @@ def test_forced_terms(spark):
     refuse = lambda texts, src, tgt: ["" for _ in texts]
     got = {r.id: (r.stage, r.translation) for r in translate.translate(items, g, refuse).collect()}
     assert got[1] == ("terms", "The réseau de neurones has a taux d'apprentissage here.") and got[2] == ("source", rows[1][1])
+
+
+def test_font_lookup_edges(spark):
+    from folioflow.operators import fonts
+
+    catalog = spark.createDataFrame([("a", "/x/A-Bold.ttf", 1), ("a", "/x/A.ttf", 0), ("", "/x/none.ttf", 2)], "key string, path string, ord int")
+    styles = spark.createDataFrame([("A", True, None, None, None), ("A", True, None, None, None), (None, None, None, True, None), ("XY+a italic", False, True, False, False)], "font string, bold boolean, italic boolean, serif boolean, mono boolean")
+    got = sorted((r.font or "", r.file or "", r.builtin or "") for r in fonts.resolve(styles, catalog).collect())
+    assert got == [("", "", "tiro"), ("A", "/x/A-Bold.ttf", ""), ("A", "/x/A-Bold.ttf", ""), ("XY+a italic", "/x/A.ttf", "")]
+    assert fonts.resolve(styles, catalog.limit(0)).filter("builtin is null").count() == 0
+    classes = spark.createDataFrame([("A",), ("zaz",), ("q",), (None,)], "class_name string")
+    found = {r.class_name: r.path for r in fonts.class_files(classes, spark.createDataFrame([("q", "dir/a.v1.ttf")], "class_name string, mapped string"), catalog).collect()}
+    assert found == {"A": "/x/A.ttf", "zaz": "/x/A.ttf", "q": None, None: None}
+
+
+def test_profile_files(spark, tmp_path):
+    from folioflow.sources import profiles
+
+    (tmp_path / "p.json").write_text('{"fr": {"post_edit": {"weak_connectors": ["et"]}}, "default": {"quality_rules": {"short_ratio": 0.5}}}')
+    (tmp_path / "broken.json").write_text("[1, ")
+    rows = profiles.overlay(profiles.defaults(spark), profiles.read(spark, str(tmp_path)))
+    got = {(r.lang, r.name): r.value for r in profiles.for_languages(rows, spark.createDataFrame([("fr",), ("de",)], "lang string")).collect()}
+    assert got["fr", "weak_connectors"] == '["et"]' and got["de", "weak_connectors"] == "[]" and got["de", "short_ratio"] == "0.5" and got["fr", "too_long"] == "15"
