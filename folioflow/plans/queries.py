@@ -217,7 +217,15 @@ def domain_detect(spark, sf_dir):
     return glossary.detect_domain(d, lex, "doc_id").withColumn("hits", F.col("hits").cast("long"))
 
 
-@_query()
+@_query(
+    f"""
+WITH d AS (SELECT doc_id, {NORM.format('text')} AS t FROM documents),
+u AS (SELECT doc_id, unnest({SENTENCES.format('t')}) AS s FROM d),
+p AS (SELECT doc_id, s, list_transform(list_filter(list_transform(string_split(regexp_replace(s, ',\\s+', concat(',', chr(1)), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), lambda x: {{'n': 0::BIGINT, 'm': 0::BIGINT, 'c': length(x)::BIGINT}}) AS parts FROM u),
+r AS (SELECT doc_id, s, CASE WHEN length(s) > 260 THEN list_reduce(parts, lambda a, x: CASE WHEN a.c + 1 + x.c <= 260 THEN {{'n': a.n, 'm': a.m, 'c': a.c + 1 + x.c}} ELSE {{'n': a.n + 1, 'm': greatest(a.m, a.c), 'c': x.c}} END) ELSE {{'n': 0::BIGINT, 'm': 0::BIGINT, 'c': length(s)::BIGINT}} END AS e FROM p),
+g AS (SELECT doc_id, sum(e.n + 1) AS n, max(greatest(e.m, e.c)) AS longest FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n, coalesce(longest, 0)::BIGINT AS longest FROM documents LEFT JOIN g USING (doc_id)"""
+)
 def direct_translation_chunks(spark, sf_dir):
     c = T.chunks("text")
     return _docs(spark, sf_dir).select("doc_id", F.size(c).cast("long").alias("n"), F.coalesce(F.array_max(F.transform(c, lambda x: F.length(x))), F.lit(0)).cast("long").alias("longest"))
@@ -645,7 +653,18 @@ def layout_quality(spark, sf_dir):
     return layout.quality_counts(words, off, spatial.overlap_pairs(ids, PAGE, "w", band=32), hits, PAGE)
 
 
-@_query()
+_LINEAR = "CASE WHEN {0} / 255.0::DOUBLE <= 0.03928 THEN {0} / 255.0::DOUBLE / 12.92 ELSE pow(({0} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END"
+_ON_WHITE = "1.05 / (0.2126 * {0} + 0.7152 * {1} + 0.0722 * {2} + 0.05)"
+_HEX = "printf('#%02x%02x%02x', {0}::INT, {1}::INT, {2}::INT)"
+_DARK = [f"floor({c} * 0.42::DOUBLE)" for c in "rgb"]
+_NEAR = [f"least(255, round_even({c} / 32.0, 0) * 32)" for c in "rgb"]
+
+
+@_query(
+    f"""
+WITH c AS (SELECT c_custkey, (c_custkey * 7919) // 65536 % 256 AS r, (c_custkey * 7919) // 256 % 256 AS g, (c_custkey * 7919) % 256 AS b FROM customer)
+SELECT c_custkey, {_HEX.format(*'rgb')} AS color, CASE WHEN {_ON_WHITE.format(*[_LINEAR.format(c) for c in 'rgb'])} >= 4.5 THEN {_HEX.format(*'rgb')} WHEN {_ON_WHITE.format(*[_LINEAR.format(c) for c in _DARK])} >= 4.5 THEN {_HEX.format(*_DARK)} ELSE '#222222' END AS readable, {_HEX.format(*_NEAR)} AS bucket FROM c"""
+)
 def colors_on_white(spark, sf_dir):
     c = _table(spark, sf_dir, "customer").select("c_custkey", G.int_color(F.col("c_custkey") * 7919).alias("color"))
     return c.select("c_custkey", "color", G.readable_color(F.col("color")).alias("readable"), G.color_bucket(F.col("color")).alias("bucket"))
