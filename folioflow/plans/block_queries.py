@@ -351,3 +351,45 @@ def profile_settings(spark, sf_dir):
     own = rows.groupBy("profile", "section", "name").agg(F.max("s_name").alias("value"))
     langs = spark.createDataFrame([("fr",), ("de",), ("es",)], "lang string")
     return profiles.for_languages(profiles.overlay(profiles.defaults(spark), own), langs)
+
+
+@_query(
+    f"""
+WITH {LINES_SQL}, n AS (SELECT doc_id, i, {NORM.format("t || CASE WHEN i % 4 = 0 THEN ' z-' ELSE '' END")} AS s FROM lines),
+k AS (SELECT * FROM n WHERE s <> '' AND NOT regexp_matches(s, '^(?:\\.\\.\\.|[•▪◦·\\-*]|\\d{{1,2}}[.)]?)$')),
+p AS (SELECT *, lag(s) OVER w AS before FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+u AS (SELECT *, sum(CASE WHEN coalesce(before, '') LIKE '%-' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS unit FROM p),
+l AS (SELECT *, i = max(i) OVER (PARTITION BY doc_id, unit) AS last FROM u)
+SELECT doc_id, unit::BIGINT AS unit, md5(string_agg(CASE WHEN last THEN s ELSE left(s, length(s) - 1) END, '' ORDER BY i)) AS digest FROM l GROUP BY doc_id, unit"""
+)
+def dehyphenated_lines(spark, sf_dir):
+    d = _lines(spark, sf_dir).withColumn("t", F.concat("t", F.when(F.col("i") % 4 == 0, " z-").otherwise("")))
+    return units.dehyphenated_lines(d, PAGE).select("doc_id", _long("unit"), F.md5("s").alias("digest"))
+
+
+@_query(
+    f"""
+WITH {LINES_SQL},
+c AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[,:;|/()\\[\\]{{}}]+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '') AS chunks, regexp_extract_all(t, '[0-9]+|[A-Za-zÀ-ÿ]+|[^\\s]') AS atoms FROM lines)
+SELECT doc_id, sum(len(chunks))::BIGINT AS chunks, sum(len(atoms))::BIGINT AS atoms,
+       sum(len(list_filter(atoms, lambda a: regexp_full_match(a, '[0-9]'))))::BIGINT AS chiffre, sum(len(list_filter(atoms, lambda a: regexp_full_match(a, '[0-9]{{2,}}'))))::BIGINT AS nombre,
+       sum(len(list_filter(atoms, lambda a: regexp_full_match(a, '[A-Za-zÀ-ÿ]'))))::BIGINT AS lettre, sum(len(list_filter(atoms, lambda a: regexp_full_match(a, '[A-Za-zÀ-ÿ]{{2,}}'))))::BIGINT AS mot_alpha,
+       sum(len(list_filter(atoms, lambda a: NOT regexp_matches(a, '[0-9A-Za-zÀ-ÿ]'))))::BIGINT AS symbole FROM c GROUP BY doc_id"""
+)
+def residual_atoms(spark, sf_dir):
+    d = _lines(spark, sf_dir).select("doc_id", F.size(T.residual_chunks("t")).alias("n"), T.atoms("t").alias("a"))
+    d = d.select("doc_id", "n", F.size("a").alias("m"), F.transform("a", T.atom_kind).alias("k"))
+    count = lambda kind: F.sum(F.size(F.filter("k", lambda x: x == kind))).alias(kind)
+    return d.groupBy("doc_id").agg(F.sum("n").alias("chunks"), F.sum("m").alias("atoms"), *[count(k) for k in ("chiffre", "nombre", "lettre", "mot_alpha", "symbole")])
+
+
+@_query(
+    f"""
+WITH {LINES_SQL}
+SELECT doc_id, i::BIGINT AS i, md5(replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS escaped, md5(regexp_replace(t, '[^A-Za-z0-9_-]+', '-', 'g')) AS slug,
+       regexp_replace(lower(regexp_replace(t, '^[^+]*\\+', '')), '[^a-z0-9]+', '', 'g') AS font_key,
+       regexp_matches(lower(t), 'bold|black|heavy|semibold|demi') AS bold, regexp_matches(lower(t), 'times|serif|roman|georgia|garamond|minion|palatino|cambria') AND NOT contains(lower(t), 'sans') AS serif FROM lines"""
+)
+def name_and_markup_keys(spark, sf_dir):
+    f = T.font_flags("t")
+    return _lines(spark, sf_dir).select("doc_id", _long("i"), F.md5(T.html_escape("t")).alias("escaped"), F.md5(T.css_slug("t")).alias("slug"), T.font_key("t").alias("font_key"), f["bold"].alias("bold"), f["serif"].alias("serif"))
