@@ -155,10 +155,16 @@ def replace_terms(items: DataFrame, rules: DataFrame, ident: str) -> DataFrame:
 
 
 def synset_pairs(english: DataFrame, other: DataFrame) -> DataFrame:
-    """(key, value): English lemma to the first target lemma that shares a synset. Columns: synset, lemma, ord."""
-    e = english.select("synset", clean_key("lemma").alias("key"), F.col("ord").alias("eo"))
-    o = other.select("synset", T.clean_spaces("lemma").alias("value"), F.col("ord").alias("oo"))
-    return e.join(o, "synset").filter("key != '' and value != ''").groupBy("key").agg(F.min_by("value", F.struct("eo", "oo")).alias("value"))
+    """(key, value): English lemma to the first target lemma that shares a synset. Columns: synset, lemma, ord.
+
+    Only a synset's first target and a lemma's first place in a synset can win, so each side is reduced
+    to these before the join. Targets of equal ord give the smallest.
+    """
+    e = english.select("synset", clean_key("lemma").alias("key"), F.struct(F.col("ord").alias("eo")).alias("e")).filter("key != ''")
+    o = other.select("synset", T.clean_spaces("lemma").alias("value"), F.col("ord").alias("oo")).filter("value != ''")
+    e = e.groupBy("synset", "key").agg(F.min("e").alias("e"))
+    o = o.groupBy("synset").agg(F.min(F.struct("oo", "value")).alias("o"))
+    return e.join(o, "synset").groupBy("key").agg(F.min(F.struct("e", "o"))["o"]["value"].alias("value"))
 
 
 def missing_translations(terms: DataFrame, languages: DataFrame, have: DataFrame) -> DataFrame:

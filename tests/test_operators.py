@@ -318,3 +318,24 @@ def test_profile_files(spark, tmp_path):
     rows = profiles.overlay(profiles.defaults(spark), profiles.read(spark, str(tmp_path)))
     got = {(r.lang, r.name): r.value for r in profiles.for_languages(rows, spark.createDataFrame([("fr",), ("de",)], "lang string")).collect()}
     assert got["fr", "weak_connectors"] == '["et"]' and got["de", "weak_connectors"] == "[]" and got["de", "short_ratio"] == "0.5" and got["fr", "too_long"] == "15"
+
+
+def test_synsets_of_many_lemmas(spark):
+    """Synsets of thousands of lemmas don't pair them all; the first pair by (English, target) order wins."""
+    import time
+
+    began = time.monotonic()
+    e = spark.range(40_000).selectExpr("0L as synset", "concat('Word ', id % 50) as lemma", "id as ord")
+    o = spark.range(40_000).selectExpr("0L as synset", "concat('mot ', id) as lemma", "40000 - id as ord")
+    got = {r.key: r.value for r in glossary.synset_pairs(e, o).collect()}
+    assert got == {f"word {i}": "mot 39999" for i in range(50)} and time.monotonic() - began < 20
+    rng = random.Random(6)
+    sides = [[(rng.randint(0, 5), rng.choice(["", " ", "a", "A ", "b", "c"]), n) for n in rng.sample(range(90), 30)] for _ in range(2)]
+    want = {}
+    for s, lemma, n in sides[0]:
+        for z, value, m in sides[1]:
+            key = lemma.strip().lower()
+            if s == z and key and value.strip():
+                want[key] = min(want.get(key, (99, 99, "")), (n, m, value.strip()))
+    e, o = (spark.createDataFrame(x, "synset long, lemma string, ord long") for x in sides)
+    assert {r.key: r.value for r in glossary.synset_pairs(e, o).collect()} == {k: v[2] for k, v in want.items()}
