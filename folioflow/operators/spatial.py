@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -131,34 +137,156 @@ def _meet(a, b) -> float:
     return max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
 
 
-def dedupe_words(words: DataFrame, keys: list[str], order: str = "word_id") -> DataFrame:
-    """Words, large to small, that no accepted word covers by over 0.85 with a label containing theirs."""
+#: Covering candidates per word from which a page is taken word by word, so pairs stay bounded.
+CROWDED = 64
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(__a=(page.x1 - page.x0) * (page.y1 - page.y0)).sort_values(["__a", order], ascending=[False, True], kind="stable")
-        # Accepted words by the cells they touch, as only those that meet a word can cover it.
-        wide, tall = max(1.0, (page.x1 - page.x0).mean()), max(1.0, (page.y1 - page.y0).mean())
-        grid, rows = {}, []
-        for at, r in enumerate(page.itertuples(index=False)):
-            box, label = (r.x0, r.y0, r.x1, r.y1), (r.label or "").lower()
-            size = (r.x1 - r.x0) * (r.y1 - r.y0)
-            cells = []
-            if size == size:
-                across = range(int(r.x0 // wide), int(r.x1 // wide) + 1)
-                cells = [(x, y) for y in range(int(r.y0 // tall), int(r.y1 // tall) + 1) for x in across]
-            again = False
-            for other, word in (k for c in cells for k in grid.get(c, ())):
-                m = _meet(box, other)
-                if m > 0 and (size <= 0 or m / size > 0.85 and label in word):
-                    again = True
-                    break
-            if not again:
-                for c in cells:
-                    grid.setdefault(c, []).append((box, label))
-                rows.append(at)
-        return page.iloc[rows].drop(columns="__a")
 
-    return _grouped(words, keys, run, _ddl(words, *words.columns))
+def _whole_pages(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray], pa.Table], columns: list[str]) -> DataFrame:
+    """fn(rows, sizes) over many whole pages at a time, which returns `columns`; sizes are the pages' numbers of rows, in order.
+
+    The window brings a page's rows together, by the partitions and order the rows already have where
+    these suffice, and says where a page ends.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, need = [], 0, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            rows += b.num_rows
+            need = need or b.column("__n")[0].as_py()
+            if rows < need:  # the first page held is not whole yet
+                continue
+            t = pa.Table.from_batches(held)
+            n, sizes, at = t.column("__n").to_numpy(), [], 0
+            while at < rows and at + n[at] <= rows:
+                sizes.append(int(n[at]))
+                at += sizes[-1]
+            yield from fn(t.slice(0, at).drop_columns("__n"), np.array(sizes)).to_batches()
+            held, rows = t.slice(at).to_batches(), rows - at
+            need = int(n[at]) if rows else 0
+        if rows:
+            raise ValueError("a page was cut")
+
+    counted = df.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
+    return counted.mapInArrow(run, df.select(*columns).schema)
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    x = column.to_numpy()
+    return x.astype(float) if x.dtype == object else x
+
+
+def _ranks(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers in the order of the values, nulls last."""
+    if pa.types.is_integer(column.type) and not column.null_count:
+        return column.to_numpy()
+    at = pd.factorize(column.to_pandas(), sort=True)[0]
+    return np.where(at < 0, len(at), at)
+
+
+def _spread(low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(at, value): for each position at, the n[at] numbers from low[at]."""
+    at = np.repeat(np.arange(len(n)), n)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(n) - n - low, n)
+
+
+def _centre_hits(page: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(box, first, n, by): centres by[first:first + n] of the same page and band have an x inside the box.
+
+    Bands have the mean height of a page's boxes, so all boxes together touch at most three per box.
+    """
+    tall = np.bincount(page, y1 - y0) / np.maximum(1, np.bincount(page))
+    low, high, mid = (np.floor(y / tall[page]).astype(np.int64) for y in (y0, y1, (y0 + y1) / 2))
+    base, width = low.min(), int(high.max() - low.min()) + 1
+    xs, x = np.unique(x0 + x1, return_inverse=True)
+    bands, band = np.unique(page * width + (mid - base), return_inverse=True)
+    point = band * len(xs) + x
+    by = np.argsort(point, kind="stable")
+    point = point[by]
+    first = np.searchsorted(bands, page * width + (low - base))
+    box, band = _spread(first, np.searchsorted(bands, page * width + (high - base), "right") - first)
+    left = np.searchsorted(point, band * len(xs) + np.searchsorted(xs, 2 * x0)[box])
+    right = np.searchsorted(point, band * len(xs) + np.searchsorted(xs, 2 * x1, "right")[box])
+    hit = right > left
+    return box[hit], left[hit], (right - left)[hit], by
+
+
+def _repeated(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, order: np.ndarray, labels: pa.Array, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Words that an accepted one covers, of candidate pairs (one, two): by rounds over the pairs left."""
+    size = (x1 - x0) * (y1 - y0)
+    ahead = (size[one] > size[two]) | ((size[one] == size[two]) & ((order[one] < order[two]) | ((order[one] == order[two]) & (one < two))))
+    one, two = one[ahead], two[ahead]
+    wide = np.minimum(x1[one], x1[two]) - np.maximum(x0[one], x0[two])
+    tall = np.minimum(y1[one], y1[two]) - np.maximum(y0[one], y0[two])
+    covered = (wide > 0) & (tall > 0)
+    covered &= wide * tall / size[two] > 0.85
+    one, two = one[covered], two[covered]
+    a, b = labels.take(pa.array(one)), labels.take(pa.array(two))
+    inside = pc.equal(a, b).to_numpy(zero_copy_only=False)
+    other = np.flatnonzero(~inside)
+    inside[other] = [y.lower() in x.lower() for x, y in zip(a.take(pa.array(other)).to_pylist(), b.take(pa.array(other)).to_pylist(), strict=True)]
+    one, two = one[inside], two[inside]
+    gone = np.zeros(len(size), dtype=bool)
+    while len(one):
+        open_ = np.zeros(len(size), dtype=bool)
+        open_[two] = True
+        gone[two[~open_[one]]] = True
+        left = ~gone[one] & ~gone[two]
+        one, two = one[left], two[left]
+    return gone
+
+
+def _repeated_one_by_one(x0: list, y0: list, x1: list, y1: list, order: list, labels: list[str]) -> list[int]:
+    """The same for one page, word by word with a grid of accepted words."""
+    size = [(c - a) * (d - b) for a, b, c, d in zip(x0, y0, x1, y1, strict=True)]
+    # Accepted words by the cells they touch, as only those that meet a word can cover it.
+    wide, tall = max(1.0, sum(x1) / len(x1) - sum(x0) / len(x0)), max(1.0, sum(y1) / len(y1) - sum(y0) / len(y0))
+    grid, gone = {}, []
+    for at in sorted(range(len(size)), key=lambda i: (-size[i], order[i])):
+        box, label = (x0[at], y0[at], x1[at], y1[at]), labels[at].lower()
+        across = range(int(box[0] // wide), int(box[2] // wide) + 1)
+        cells = [(x, y) for y in range(int(box[1] // tall), int(box[3] // tall) + 1) for x in across]
+        if any(_meet(box, other) / size[at] > 0.85 and label in word for c in cells for other, word in grid.get(c, ())):
+            gone.append(at)
+        else:
+            for c in cells:
+                grid.setdefault(c, []).append((box, label))
+    return gone
+
+
+def dedupe_words(words: DataFrame, keys: list[str], order: str = "word_id", columns: list[str] | None = None) -> DataFrame:
+    """Words, large to small, that no accepted word covers by over 0.85 with a label containing theirs.
+
+    A word that covers another by over a half holds its centre, so the pairs to judge are found by centres.
+    With `columns`, the words' other columns are left out of the result.
+    """
+    columns = columns or words.columns
+
+    def run(t: pa.Table, sizes: np.ndarray) -> pa.Table:
+        x0, y0, x1, y1 = (_numbers(t.column(c)) for c in ("x0", "y0", "x1", "y1"))
+        live = np.flatnonzero((x1 > x0) & (y1 > y0))  # others meet nothing
+        if not len(live):
+            return t.select(columns)
+        page = np.repeat(np.arange(len(sizes)), sizes)[live]
+        x0, y0, x1, y1 = (c[live] for c in (x0, y0, x1, y1))
+        rank = _ranks(t.column(order))[live]
+        labels = pc.fill_null(t.column("label"), "").combine_chunks().take(pa.array(live))
+        box, first, n, by = _centre_hits(page, x0, y0, x1, y1)
+        crowded = np.bincount(page[box], n, len(sizes)) > CROWDED * np.bincount(page, minlength=len(sizes))
+        few = ~crowded[page[box]]
+        at, point = _spread(first[few], n[few])
+        gone = _repeated(x0, y0, x1, y1, rank, labels, box[few][at], by[point])
+        for p in np.flatnonzero(crowded):
+            on = np.flatnonzero(page == p)
+            again = _repeated_one_by_one(*(c[on].tolist() for c in (x0, y0, x1, y1, rank)), labels.take(pa.array(on)).to_pylist())
+            gone[on[again]] = True
+        keep = np.ones(t.num_rows, dtype=bool)
+        keep[live[gone]] = False
+        return t.select(columns).filter(pa.array(keep))
+
+    return _whole_pages(words, keys, run, columns)
 
 
 def dedupe_spans(spans: DataFrame, keys: list[str], order: str, share: float = 0.6) -> DataFrame:

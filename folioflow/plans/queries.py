@@ -407,12 +407,21 @@ def diagram_components(spark, sf_dir):
     return g.select("doc_id", F.col("i").cast("long").alias("i"), F.col("grp").cast("long").alias("grp"))
 
 
+#: Text bytes of one task of word_dedupe, whose words take some 40 times as much.
+TASK_BYTES = 4_000_000
+
+
 @_query()
 def word_dedupe(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    w = views.words(docs).withColumn("word_id", F.col("i").cast("long") * 100_000_000 + F.col("k"))
-    wide = w.filter("k % 3 = 0").withColumn("x1", F.col("x1") + 3).withColumn("word_id", F.col("word_id") + 50_000_000)
-    return spatial.dedupe_words(w.unionByName(wide), PAGE).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    docs = docs.repartition(max(1, -(-total // TASK_BYTES)), "doc_id")
+    # A wide copy of each third word; rows stay in their page's partition.
+    wide = F.explode(F.when(F.col("k") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    w = views.words(docs).select("*", wide.alias("wide"))
+    word_id = F.col("i").cast("long") * 100_000_000 + F.col("k") + 50_000_000 * F.col("wide")
+    w = w.select("doc_id", word_id.alias("word_id"), "label", "x0", "y0", (F.col("x1") + 3 * F.col("wide")).alias("x1"), "y1")
+    return spatial.dedupe_words(w, PAGE, columns=PAGE).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Styles

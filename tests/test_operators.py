@@ -339,3 +339,34 @@ def test_synsets_of_many_lemmas(spark):
                 want[key] = min(want.get(key, (99, 99, "")), (n, m, value.strip()))
     e, o = (spark.createDataFrame(x, "synset long, lemma string, ord long") for x in sides)
     assert {r.key: r.value for r in glossary.synset_pairs(e, o).collect()} == {k: v[2] for k, v in want.items()}
+
+
+def test_words_of_many_pages(spark):
+    """Thousands of pages, crowded pages, chains of covers, boxes without area and nulls, by brute force."""
+    import time
+
+    began = time.monotonic()
+    many = spark.range(400_000).selectExpr("id div 100 as page", "id as word_id", "concat('w', id % 7) as label", "id % 100 * 20 as x0", "0L as y0", "id % 100 * 20 + 10 as x1", "9L as y1")
+    twice = many.unionByName(many.selectExpr("page", "word_id + 1000000 as word_id", "label", "x0", "y0", "x1 + 1 as x1", "y1"))
+    got = spatial.dedupe_words(twice, ["page"], columns=["page"]).groupBy("page").count().collect()
+    assert len(got) == 4000 and {r["count"] for r in got} == {100} and time.monotonic() - began < 15
+    rng = random.Random(8)
+    rows = [(0, k, rng.choice(("a", "ab", "B", None)), x, y, x + rng.randint(20, 60), y + rng.randint(20, 60)) for k in range(300) for x, y in [(rng.randint(0, 9), rng.randint(0, 9))]]
+    rows += [(1, k, "aX", 0, 0, 10_000 - 100 * k, 40) for k in range(60)]
+    rows += [(2, k, rng.choice("ab"), x, y, x + rng.randint(-3, 9), y + rng.randint(-3, 9)) for k in range(200) for x, y in [(rng.randint(-20, 20), rng.randint(-20, 20))]]
+    want = []
+    for d in range(3):
+        kept = []
+        for b in sorted((b for b in rows if b[0] == d), key=lambda b: (-(b[5] - b[3]) * (b[6] - b[4]), b[1])):
+            size = (b[5] - b[3]) * (b[6] - b[4])
+            if not any((m := spatial._meet(b[3:], k[3:])) > 0 and (size <= 0 or m / size > 0.85 and (b[2] or "").lower() in (k[2] or "").lower()) for k in kept):
+                kept.append(b)
+        want += [(d, k[1]) for k in kept]
+    rows.append((2, 999, "a", None, 0, 5, 5))
+    for kind in ("long", "double"):
+        boxes = [(*r[:3], *(v if v is None or kind == "long" else float(v) for v in r[3:])) for r in rows]
+        df = spark.createDataFrame(boxes, f"page long, word_id long, label string, x0 {kind}, y0 {kind}, x1 {kind}, y1 {kind}")
+        for parts in (1, 7):
+            kept = [(r.page, r.word_id) for r in spatial.dedupe_words(df.repartition(parts), ["page"]).collect()]
+            assert sorted(kept) == sorted([*want, (2, 999)])
+    assert spatial.dedupe_words(df.limit(0), ["page"]).collect() == []
