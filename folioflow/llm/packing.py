@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -120,13 +118,11 @@ def pack_documents(
     path: str | None = None,
     pattern: str | None = None,
     group_bytes: int = GROUP_BYTES,
-    digest: bool = False,
 ) -> DataFrame:
     """Rows of `length` token ids: pack_group, pack_row, n_tokens, ids and positions (little-endian
     unsigned 32-bit), cu_seqlens (0 and the end of each segment) and segments (doc_id, offset, length).
 
-    With digest, ids and positions are replaced by their SHA-256 in hex. Documents are dealt into groups
-    by id hash and packed within a group in id order, so memory is bounded and reruns agree. Null and
+    Documents are dealt into groups by id hash and packed within a group in id order, so memory is bounded and reruns agree. Null and
     empty texts have no tokens and no segment; a null id is carried as null; repeated rows are packed
     each; an empty table gives no rows; other columns are ignored.
     """
@@ -142,21 +138,24 @@ def pack_documents(
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
         p = pack([np.frombuffer(e, dtype="<u4") for e in c.encode_all((texts[i] or "" for i in order), short=SHORT)], length, pad)
         n = len(p["cumulative"])
-        blob = (lambda m: hashlib.sha256(m.tobytes()).hexdigest()) if digest else (lambda m: m.tobytes())
-        kind = pa.string() if digest else pa.binary()
         return pa.table(
             {
                 "pack_group": pa.array([key[0].as_py()] * n, pa.int32()),
                 "pack_row": pa.array(range(n), pa.int32()),
                 "n_tokens": pa.array([x[-1] for x in p["cumulative"]], pa.int64()),
-                "ids": pa.array([blob(x) for x in p["matrix"]], kind),
-                "positions": pa.array([blob(x) for x in p["positions"]], kind),
+                "ids": pa.array([x.tobytes() for x in p["matrix"]], pa.binary()),
+                "positions": pa.array([x.tobytes() for x in p["positions"]], pa.binary()),
                 "cu_seqlens": pa.array(p["cumulative"], pa.list_(pa.int32())),
                 "segments": pa.array([[{"doc_id": ids[order[i]], "offset": s, "length": m} for i, s, m in x] for x in p["segments"]], _SEGMENT),
             }
         )
 
-    return d.groupBy("pack_group").applyInArrow(run, _SCHEMA.replace("binary", "string") if digest else _SCHEMA)
+    return d.groupBy("pack_group").applyInArrow(run, _SCHEMA)
+
+
+def digest(packed: DataFrame) -> DataFrame:
+    """Packed rows with the SHA-256 in hex of their ids and positions instead of these."""
+    return packed.withColumns({c: F.sha2(c, 256) for c in ("ids", "positions")})
 
 
 def save(packed: DataFrame, path: str) -> None:

@@ -45,7 +45,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), digest=True)
+    return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents")))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -341,3 +341,20 @@ def test_pipeline(spark):
     for r in steps["bpe"]:
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest() and len(r.ids) == 4 * r.n_tokens
     assert sorted(map(str, p.run(spark, SF).collect())) == sorted(map(str, steps["bpe"]))
+
+
+def test_packed_query_comes_from_rows(spark, tmp_path, monkeypatch):
+    """op9's digests are those of the rows of ids that the operator returns."""
+    import hashlib
+
+    from folioflow.llm import queries
+
+    docs = spark.createDataFrame([(i, f"text number {i} " * (i * 40)) for i in range(12)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    packed, seen = packing.pack_documents, []
+    monkeypatch.setattr(packing, "pack_documents", lambda *a, **k: seen.append(packed(*a, **k)) or seen[-1])
+    got = sorted((r.pack_group, r.pack_row, r.n_tokens, r.ids, r.positions, r.segments) for r in queries.op9_packing(spark, str(tmp_path)).collect())
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    rows = seen[0].collect()
+    assert {len(r.ids) for r in rows} == {len(r.positions) for r in rows} == {4 * packing.LENGTH}
+    assert got == sorted((r.pack_group, r.pack_row, r.n_tokens, sha(r.ids), sha(r.positions), r.segments) for r in rows)
