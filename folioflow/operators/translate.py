@@ -8,9 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import language as L
 from ..functions import text as T
@@ -45,27 +50,46 @@ def cascade(*backends: Backend) -> Backend:
 
 
 def translate_distinct(items: DataFrame, backend: Backend, text: str = "t") -> DataFrame:
-    """items with `raw`: each distinct (text, src, tgt) goes through the back-end once and is joined back."""
+    """items with `raw`: each distinct (text, src, tgt) goes through the back-end once; null where one is null.
+
+    The window brings equal texts together and numbers them; each takes the answer of its number 1.
+    """
     keys = [text, "src", "tgt"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
-            b = b.assign(raw="")
-            for (src, tgt), part in b.groupby(["src", "tgt"], sort=False):
-                b.loc[part.index, "raw"] = backend(part[text].tolist(), src, tgt)
-            yield b
+            first = pc.equal(b.column("__r"), 1).to_numpy(zero_copy_only=False)
+            new = pd.DataFrame({k: b.column(k).filter(pa.array(first)).to_pylist() for k in keys}, dtype=object).assign(raw=None)
+            for (src, tgt), part in new.dropna(subset=keys).groupby(["src", "tgt"], sort=False):
+                new.loc[part.index, "raw"] = pd.Series(backend(part[text].tolist(), src, tgt), part.index, dtype=object)
+            # Rows before the batch's first number 1 go on with the text of the batch before.
+            answers = pa.array([last, *new["raw"]], pa.string(), from_pandas=True)
+            raw = answers.take(pa.array(np.cumsum(first)))
+            last = answers[-1].as_py()
+            at = b.schema.get_field_index("__r")
+            yield b.set_column(at, "raw", raw)
 
-    once = items.select(*keys).dropna().distinct()
-    done = once.mapInPandas(run, f"{text} string, src string, tgt string, raw string")
-    return items.join(done, keys, "left")
+    numbered = items.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(*keys)))
+    return numbered.mapInArrow(run, StructType([*items.schema, StructField("raw", StringType())]))
 
 
-def normalized_translation(translated, original, target: Column, rules=()) -> Column:
-    """Invisible characters, ligatures, configured rules, punctuation and repeated sentences put right."""
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns; a generator keeps the optimiser from copying them into what uses them."""
+    d = df.withColumn("__c", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+    return d.select(*df.columns, *[F.col(f"__c.{k}").alias(k) for k in columns])
+
+
+def _evened(translated, target: Column, rules=()) -> Column:
     s = T.fix_ligatures(T.clean_spaces(translated))
     if rules:
         s = F.when(target == "fr", T.apply_rules(s, rules)).otherwise(s)
-    return T.without_repeats(T.fix_punctuation(s))
+    return T.fix_punctuation(s)
+
+
+def normalized_translation(translated, original, target: Column, rules=()) -> Column:
+    """Invisible characters, ligatures, configured rules, punctuation and repeated sentences put right."""
+    return T.without_repeats(_evened(translated, target, rules))
 
 
 def translate(items: DataFrame, glossary: DataFrame, backend: Backend = identity, ident: str = "id", fixes=()) -> DataFrame:
@@ -75,15 +99,21 @@ def translate(items: DataFrame, glossary: DataFrame, backend: Backend = identity
     fragment, a whole-text glossary entry, and the back-end's acceptable answer; else the source text with
     the glossary's terms in it replaced.
     """
-    d = items.withColumn("source", T.clean_spaces("t")).withColumn("__protected", T.is_protected("t", F.col("role")))
-    exact = G.exact_lookup(items, glossary, ident).withColumnRenamed("value", "__exact")
-    d = d.join(exact, ident, "left")
-    rules = G.matching_rules(items, glossary, ident)
-    forced = G.replace_terms(items.join(rules.select(ident).distinct(), ident, "left_semi"), rules, ident)
-    d = d.join(forced.select(ident, F.col("t").alias("__forced")), ident, "left")
-    d = translate_distinct(d.withColumn("__q", T.sanitize_source("t")), backend, "__q")
-    model = normalized_translation(T.restore_acronyms("source", T.sanitize_translation("raw", "source")), "source", F.col("tgt"), fixes)
-    d = d.withColumn("__model", model)
+    d = translate_distinct(items.withColumn("__q", T.sanitize_source("t")), backend, "__q")
+    if glossary.isEmpty():  # nothing to look up: no joins over the items
+        d = d.withColumn("__exact", F.lit(None).cast("string")).withColumn("__forced", F.lit(None).cast("string"))
+    else:
+        exact = G.exact_lookup(items, glossary, ident).withColumnRenamed("value", "__exact")
+        d = d.join(exact, ident, "left")
+        rules = G.matching_rules(items, glossary, ident)
+        forced = G.replace_terms(items.join(rules.select(ident).distinct(), ident, "left_semi"), rules, ident)
+        d = d.join(forced.select(ident, F.col("t").alias("__forced")), ident, "left")
+    # Each text is computed once per row, and what the next step has several times is a column before it.
+    d = _once(d, source=T.clean_spaces("t"))
+    d = _once(d, __protected=T.is_protected("source", F.col("role")), __clean=T.sanitize_translation("raw", "source"))
+    d = _once(d, __restored=T.restore_acronyms("source", "__clean"))
+    d = _once(d, __even=_evened("__restored", F.col("tgt"), fixes))
+    d = _once(d, __model=T.without_repeats("__even"))
     short = F.when((F.col("src") == "en") & (F.col("tgt") == "fr"), T.connector_fragment("source"))
     good = T.is_acceptable_translation("source", "__model") & (T.clean_spaces("raw") != "")
     changed = F.col("__forced").isNotNull() & (T.clean_spaces("__forced") != F.col("source"))

@@ -568,11 +568,12 @@ def translation_quality(spark, sf_dir):
 
 @_query()
 def staged_translation(spark, sf_dir):
-    items = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences("text")).alias("at", "t")).withColumn("id", F.concat_ws(":", "doc_id", "at", F.md5("t")))
-    items = items.select("id", "t", F.lit("body").alias("role"), F.lit("general").alias("domain"), F.lit("").alias("subdomain"), F.lit("en").alias("src"), F.lit("fr").alias("tgt"))
+    """All sentences; equal ones take the same stages, so each distinct one is translated once and counted n times."""
+    texts = _docs(spark, sf_dir).select(F.explode(T.sentences("text")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    items = texts.select(F.struct(F.unhex(F.md5("t")).alias("text"), "n").alias("id"), "t", F.lit("body").alias("role"), F.lit("general").alias("domain"), F.lit("").alias("subdomain"), F.lit("en").alias("src"), F.lit("fr").alias("tgt"))
     none = spark.createDataFrame([], glossary.SCHEMA)
     out = translate.translate(items, none)
-    return out.groupBy("stage", "status").agg(F.count(F.lit(1)).alias("n"))
+    return out.groupBy("stage", "status").agg(F.coalesce(F.sum("id.n"), F.lit(0)).alias("n"))
 
 
 @_query(

@@ -370,3 +370,21 @@ def test_words_of_many_pages(spark):
             kept = [(r.page, r.word_id) for r in spatial.dedupe_words(df.repartition(parts), ["page"]).collect()]
             assert sorted(kept) == sorted([*want, (2, 999)])
     assert spatial.dedupe_words(df.limit(0), ["page"]).collect() == []
+
+
+def test_translation_without_joins(spark):
+    """Equal texts take one answer across batches, nulls none, and an empty glossary joins nothing."""
+    rows = [(n, t, "en", "fr") for n, t in enumerate(["one text"] * 9 + [None, "two", "one text", "three", None])] + [(99, "two", "en", "de")]
+    items = spark.createDataFrame(rows, "id long, t string, src string, tgt string")
+    once = lambda texts, src, tgt: [f"{t} {tgt} {len(texts) == len(set(texts))}" for t in texts]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = {r.id: r.raw for r in translate.translate_distinct(items, once).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == {n: t and f"{t} {tgt} True" for n, t, _, tgt in rows}
+    d = items.selectExpr("*", "'body' as role", "'general' as domain", "'' as subdomain")
+    out = translate.translate(d, spark.createDataFrame([], glossary.SCHEMA))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == len(rows)
