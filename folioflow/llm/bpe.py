@@ -22,6 +22,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 CACHE = 500_000
 #: Characters of text whose new pre-tokens go through one queue.
 GROUP_CHARS = 8_000_000
+#: Bytes of results that a worker holds before they leave it.
+BATCH_BYTES = 4_000_000
 _SPACES = "\t-\r \x85\xa0  -     　"
 
 
@@ -386,31 +388,50 @@ def vocabulary(spark: SparkSession, path: str | None = None, pattern: str | None
         return spark.sparkContext.broadcast((f.read(), pattern or public_tokenizers.PATTERN))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, digest: bool = False) -> DataFrame:
+def encode(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    path: str | None = None,
+    pattern: str | None = None,
+    digest: bool = False,
+    digest_decoded: bool = False,
+    batch_bytes: int = BATCH_BYTES,
+) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit, binary), n_tokens, decoded (binary) per row of docs.
 
     With digest, ids and decoded are replaced by their SHA-256, so only a line per document leaves
-    the workers. Null is empty text: no ids. Repeated rows each get a row. Whole texts are encoded;
-    the work of a text grows linearly. Other columns are ignored.
+    the workers; with digest_decoded, decoded alone. Null is empty text: no ids. Repeated rows each
+    get a row. Whole texts are encoded; the work of a text grows linearly. Results leave a worker
+    once they come to batch_bytes, so they don't pile up beside the texts. Other columns are ignored.
     """
     voc = vocabulary(docs.sparkSession, path, pattern)
+    names = ["doc_id", "n_tokens", "ids_sha256" if digest else "ids", "decoded_sha256" if digest or digest_decoded else "decoded"]
+    kinds = [pa.string() if x.endswith("sha256") else pa.binary() for x in names[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(*voc.value)
+
+        def full(doc_ids: pa.Array, n: list[int], ids: list, back: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(ids, kinds[0]), pa.array(back, kinds[1])], names=names)
+
         for b in batches:
-            n, ids, back = [], [], []
+            at, held, n, ids, back = 0, 0, [], [], []
             for e in c.encode_all((t.as_py() or "" for t in b.column(1)), GROUP_CHARS // 2):
                 d = c.decode(e)
                 n.append(len(e) // 4)
                 ids.append(hashlib.sha256(e).hexdigest() if digest else e)
-                back.append(hashlib.sha256(d).hexdigest() if digest else d)
-            kind = pa.string() if digest else pa.binary()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(back, kind)], names=["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"])])
+                back.append(hashlib.sha256(d).hexdigest() if digest or digest_decoded else d)
+                held += len(ids[-1]) + len(back[-1])
+                if held >= batch_bytes:
+                    yield full(b.column(0).slice(at, len(n)), n, ids, back)
+                    at, held, n, ids, back = at + len(n), 0, [], [], []
+            yield full(b.column(0).slice(at), n, ids, back)
         c.known.clear()
         release_memory()
 
-    kind = "ids_sha256 string, decoded_sha256 string" if digest else "ids binary, decoded binary"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, n_tokens long, {kind}")
+    schema = ", ".join(f"{x} {'string' if k == pa.string() else 'binary'}" for x, k in zip(names[2:], kinds, strict=True))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, n_tokens long, {schema}")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:

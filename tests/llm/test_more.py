@@ -358,3 +358,26 @@ def test_packed_query_comes_from_rows(spark, tmp_path, monkeypatch):
     rows = seen[0].collect()
     assert {len(r.ids) for r in rows} == {len(r.positions) for r in rows} == {4 * packing.LENGTH}
     assert got == sorted((r.pack_group, r.pack_row, r.n_tokens, sha(r.ids), sha(r.positions), r.segments) for r in rows)
+
+
+def test_encoded_rows_leave_in_slices(spark, monkeypatch):
+    """A worker holds some MB of results at most, whatever the size of a batch, and decoded texts stay in it."""
+    import corpus_pipeline
+    import pyarrow as pa
+
+    texts = [None, "", *(f"text number {i} — " * (i % 400) for i in range(3000))]
+    ids = pa.array([None, *range(1, len(texts))], pa.int64())
+    docs, seen = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), []
+    whole = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: seen.append((f, schema)) or whole(self, f, schema))
+    corpus_pipeline.to_tokens(spark, docs, SF)
+    bpe.encode(docs)
+    c = bpe.codec(*bpe.vocabulary(spark).value)
+    want = [c.encode(t or "") for t in texts]
+    for (f, schema), back in zip(seen, (lambda t: hashlib.sha256(t).hexdigest(), bytes), strict=True):
+        out = list(f(iter([pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string())], names=["doc_id", "text"])] * 2)))
+        assert max(b.nbytes for b in out) < 5_000_000 < sum(b.nbytes for b in out)
+        assert [x.split()[0] for x in schema.split(", ")] == out[0].schema.names
+        rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
+        assert rows == [(d, len(e) // 4, e, back((t or "").encode())) for d, e, t in zip(ids.to_pylist(), want, texts, strict=True)] * 2
+    assert seen[0][1] == "doc_id long, n_tokens long, ids binary, decoded_sha256 string"
