@@ -28,6 +28,8 @@ _LONG_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
 _HEX_MAP = bytes(104 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 _BLOB_MAP = bytes(98 if chr(c).isalnum() and c < 128 or chr(c) in "+/_-" else 32 for c in range(256))
 MAX_DEPTH = 12
+#: Characters of the shortest header of a signed token, {"alg":""}.
+LEAST_HEADER = 14
 
 
 def _decode64(s: str) -> bytes | None:
@@ -105,14 +107,25 @@ def is_openssh_key(b: bytes | None) -> bool:
     return True
 
 
+def _object64(s: str) -> dict | None:
+    """The JSON object that s encodes. One ends with a brace in any encoding, so most other bytes need no parser."""
+    raw = _decode64(s)
+    if not raw or not raw.rstrip(b" \t\n\r\0").endswith(b"}"):
+        return None
+    try:
+        x = json.loads(raw)
+    except (ValueError, RecursionError):
+        return None
+    return x if isinstance(x, dict) else None
+
+
 def is_signed_token(s: str) -> bool:
     """header.payload.signature whose header is JSON that names an algorithm and whose payload is JSON."""
     head, body, _ = s.split(".", 2)
-    try:
-        h, p = (json.loads(_decode64(x) or b"") for x in (head, body))
-    except (ValueError, UnicodeDecodeError, RecursionError):
+    if len(head) < LEAST_HEADER:
         return False
-    return isinstance(h, dict) and isinstance(h.get("alg"), str) and isinstance(p, dict)
+    h = _object64(head)
+    return h is not None and isinstance(h.get("alg"), str) and _object64(body) is not None
 
 
 def pem_blocks(text: str) -> Iterator[tuple[int, int, str]]:
