@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from folioflow.llm import bpe, exact_dedup, mixing, near_texts, toxicity
 from folioflow.llm.common import stash, table
 
+#: Text whose pre-tokens a worker holds at a time: little, as the earlier stages leave the executors' heaps full.
+TOKEN_GROUP_CHARS = 1_000_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones outside the held-out fold, scores under 0.5."""
@@ -36,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the SHA-256 of the decoded bytes."""
-    return bpe.encode(docs, digest_decoded=True)
+    return bpe.encode(docs, digest_decoded=True, group_chars=TOKEN_GROUP_CHARS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -396,6 +396,7 @@ def encode(
     pattern: str | None = None,
     digest: bool = False,
     digest_decoded: bool = False,
+    group_chars: int = GROUP_CHARS // 2,
     batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit, binary), n_tokens, decoded (binary) per row of docs.
@@ -403,7 +404,8 @@ def encode(
     With digest, ids and decoded are replaced by their SHA-256, so only a line per document leaves
     the workers; with digest_decoded, decoded alone. Null is empty text: no ids. Repeated rows each
     get a row. Whole texts are encoded; the work of a text grows linearly. Results leave a worker
-    once they come to batch_bytes, so they don't pile up beside the texts. Other columns are ignored.
+    once they come to batch_bytes, so they don't pile up beside the texts; the pre-tokens of
+    group_chars of text are held at a time. Neither changes a row. Other columns are ignored.
     """
     voc = vocabulary(docs.sparkSession, path, pattern)
     names = ["doc_id", "n_tokens", "ids_sha256" if digest else "ids", "decoded_sha256" if digest or digest_decoded else "decoded"]
@@ -417,7 +419,7 @@ def encode(
 
         for b in batches:
             at, held, n, ids, back = 0, 0, [], [], []
-            for e in c.encode_all((t.as_py() or "" for t in b.column(1)), GROUP_CHARS // 2):
+            for e in c.encode_all((t.as_py() or "" for t in b.column(1)), group_chars):
                 d = c.decode(e)
                 n.append(len(e) // 4)
                 ids.append(hashlib.sha256(e).hexdigest() if digest else e)
