@@ -89,6 +89,9 @@ LITERAL_FR = (
     r"\bcela nous amène\b",
     r"\bvous finissez au point\b",
 )
+# Lower-case parts of the phrases above and below, without i, k and s, which other characters fold to.
+LITERAL_HINTS = ("appel", "grad", "ce peut", "relan", "cette vo", "cela nou", "ez au po")
+WEAK_HINTS = ("et a", "pour l'", "tout ")
 WEAK_FR = ("et ainsi de suite", "pour l'instant", "pas tout à fait")
 DOMAINS = {
     "science": ("equation", "theorem", "integral", "derivative", "matrix", "vector", "physics", "molecule", "chemical", "astronomy", "galaxy", "orbit", "telescope", "neural", "learning rate", "optimization", "algorithm"),
@@ -187,10 +190,16 @@ def marker_count(c, lang: str) -> Column:
     return F.regexp_count(T.clean_spaces(c), F.lit(rf"(?iU)\b({'|'.join(MARKERS[lang])})\b"))
 
 
-def marker_count_by(c, lang: Column) -> Column:
+def marker_count_clean(s: Column, lang: str) -> Column:
+    """marker_count of clean text: first letters are looked for before the words."""
+    first = "".join(sorted({m[0] for m in MARKERS[lang]}))
+    return F.regexp_count(s, F.lit(rf"(?iU)\b(?=[{first}])(?:{'|'.join(MARKERS[lang])})\b"))
+
+
+def marker_count_by(c, lang: Column, count=marker_count) -> Column:
     out = F.lit(0)
     for k in MARKERS:
-        out = F.when(lang == k, marker_count(c, k)).otherwise(out)
+        out = F.when(lang == k, count(c, k)).otherwise(out)
     return out
 
 
@@ -243,9 +252,25 @@ def gate_ok(c, target: Column, source: Column | None = None, strict: bool = True
     return clean & ~french & (source_leak(s, target, F.lit("en") if source is None else source) <= MAX_SOURCE_LEAK)
 
 
+def _literal_count(out: Column) -> Column:
+    return sum((out.rlike("(?iU)" + p).cast("int") for p in LITERAL_FR), F.lit(0))
+
+
+def _weak_count(out: Column) -> Column:
+    return F.regexp_count(out, F.lit(rf"(?iU)\b({'|'.join(WEAK_FR)})\b"))
+
+
+def _marks(src: Column, out: Column) -> dict[str, Column]:
+    count = lambda s, ch: F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))
+    return {
+        "noise": out.rlike("[!?]{2,}"),
+        "closed": src.rlike(r"[.!?]\s*$"),
+        "parens": (src == out) | ((count(src, "(") == count(out, "(")) & (count(src, ")") == count(out, ")"))),
+    }
+
+
 def _quality_inputs(source, translation, target: Column) -> dict[str, Column]:
     src, out = T.normalize_spaces(source), T.normalize_spaces(translation)
-    count = lambda s, ch: F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))
     return {
         "src": src,
         "out": out,
@@ -253,12 +278,9 @@ def _quality_inputs(source, translation, target: Column) -> dict[str, Column]:
         "m": T.word_count(out),
         "en": marker_count(out, "en"),
         "tg": marker_count_by(out, target),
-        "literal": sum((out.rlike("(?iU)" + p).cast("int") for p in LITERAL_FR), F.lit(0)),
-        "weak": F.regexp_count(out, F.lit(rf"(?iU)\b({'|'.join(WEAK_FR)})\b")),
-        "noise": out.rlike("[!?]{2,}"),
-        "closed": src.rlike(r"[.!?]\s*$"),
-        "parens": (count(src, "(") == count(out, "(")) & (count(src, ")") == count(out, ")")),
-    }
+        "literal": _literal_count(out),
+        "weak": _weak_count(out),
+    } | _marks(src, out)
 
 
 def _quality_verdict(x: dict[str, Column], role: Column, target: Column, protected: Column) -> Column:
@@ -296,15 +318,37 @@ def quality(source, translation, role: Column, target: Column, protected: Column
     return F.struct(v["score"].alias("score"), v["flags"].alias("flags"), _status(v["score"]).alias("status"))
 
 
-def with_quality(df: DataFrame, source, translation, role: Column, target: Column, protected: Column | None = None) -> DataFrame:
-    """df with score, flags and status as quality() gives them. Counts are taken once per row: a generator
-    between the steps keeps the optimiser from copying them into every flag."""
-    x = _quality_inputs(source, translation, target)
-    context = {"role": role, "target": target, "protected": F.lit(False) if protected is None else protected}
-    d = df.withColumn("__x", F.explode(F.array(F.struct(*[c.alias(k) for k, c in (x | context).items()]))))
-    at = {k: F.col(f"__x.{k}") for k in x | context}
-    d = d.withColumn("__v", F.explode(F.array(_quality_verdict(at, at["role"], at["target"], at["protected"]))))
-    return d.select(*df.columns, F.col("__v.score").alias("score"), F.col("__v.flags").alias("flags"), _status(F.col("__v.score")).alias("status"))
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns; a generator keeps the optimiser from copying them into what uses them."""
+    d = df.withColumn("__c", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+    return d.select(*df.columns, *[F.col(f"__c.{k}").alias(k) for k in columns])
+
+
+def with_quality(df: DataFrame, source, translation, role: Column, target: Column, protected: Column | None = None, known: Column | None = None) -> DataFrame:
+    """df with score, flags and status as quality() gives them. Counts are taken once per row, and those that
+    hints, or counts before them, show to be idle are not taken. known: a struct of n, en and tg where both texts are
+    clean, equal and without LITERAL_FR and WEAK_FR, else null."""
+    at = lambda k: F.col(f"__q_{k}")
+    known = F.lit(None).cast("struct<n:int,en:int,tg:int>") if known is None else known
+    normal = lambda c: T.let(T.text(c), lambda s: F.when(T.untidy(s), T.let(s, T.normalize_spaces)).otherwise(F.trim(s)))
+    ready = at("known").isNotNull()
+    d = once(df, __q_a=source, __q_b=translation, __q_role=role, __q_target=target, __q_protected=F.lit(False) if protected is None else protected, __q_known=known)
+    d = once(d, __q_src=F.when(ready, at("a")).otherwise(normal(at("a"))), __q_out=F.when(ready, at("b")).otherwise(normal(at("b"))))
+    fresh = lambda f: T.let(T.tidy(at("out")), f)
+    d = once(
+        d,
+        __q_n=F.when(ready, at("known.n")).otherwise(T.word_count(at("src"))),
+        __q_en=F.when(ready, at("known.en")).otherwise(fresh(lambda s: marker_count_clean(s, "en"))),
+        __q_low=F.when(~ready, F.lower(at("out"))),
+    )
+    hit = lambda hints, counted: F.when(~ready & (at("target") == "fr") & T.any_in(at("low"), hints), T.let(at("out"), counted)).otherwise(0)
+    # Fewer than two English markers raise no flag, whatever the target's count.
+    tg = F.when(ready, at("known.tg")).when(at("en") >= 2, fresh(lambda s: marker_count_by(s, at("target"), marker_count_clean))).otherwise(0)
+    m = F.when(at("out") == at("src"), at("n")).otherwise(T.word_count(at("out")))
+    d = once(d, __q_m=m, __q_tg=tg, __q_literal=hit(LITERAL_HINTS, _literal_count), __q_weak=hit(WEAK_HINTS, _weak_count))
+    x = {k: at(k) for k in ("src", "out", "n", "m", "en", "tg", "literal", "weak")} | _marks(at("src"), at("out"))
+    d = once(d, __q_v=_quality_verdict(x, at("role"), at("target"), at("protected")))
+    return d.select(*df.columns, F.col("__q_v.score").alias("score"), F.col("__q_v.flags").alias("flags"), _status(F.col("__q_v.score")).alias("status"))
 
 
 def lexicon(spark, table: dict[str, tuple[str, ...]] | None = None) -> DataFrame:

@@ -56,6 +56,26 @@ CONNECTORS = {
 }
 LIGATURE_FIXES = {"c-ur": "coeur", "c-urs": "coeurs", "n-ud": "noeud", "n-uds": "noeuds", "d-": "d'", "l-": "l'"}
 MAX_CHUNK = 260
+# Necessary conditions, for texts looked at before the rules above run. A text without UNTIDY characters and double spaces
+# is its own clean_spaces but for spaces around it; a clean text without MAY_PROTECT and PROTECT_HINTS (lower-cased) matches
+# no pattern of is_protected. No hint for a case-insensitive Unicode pattern has i, k or s, which three other characters fold to.
+
+
+def _none_of(chars: str) -> str:
+    """A class of all but these characters, listed one by one: Java looks those up in one table of Latin-1."""
+    return "[^" + "".join(rf"\x{ord(c):02x}" for c in chars) + "]"
+
+
+_PRINTED = "".join(map(chr, [*range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]))
+NOT_PRINTED = _none_of(_PRINTED)
+UNTIDY = r"[^ -~\u00a1-\u00ac\u00ae-\u024f\u0370-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u4e00-\u9fff]"
+MAY_PROTECT = _none_of("".join(c for c in _PRINTED if c not in "@:/[(^=<>±×÷µ"))
+MAY_BE_FORMULA = "[A-Z][a-z]?[0-9]*[A-Z]"
+PROTECT_HINTS = ("www.", "et al.", "vol.", "no.", "pp.", "doi", "isbn", "issn")
+META_HINTS = ("traduct", "phra", "mot", "tant", "tem", "t\u00e8me")
+CORRUPT_HINTS = ("rule", "gle", "tant", "tem", "m_")
+SAYS = rf"(?U)[^\s\p{{Cf}}{INVISIBLE[1:-1]}]"
+LEAK_HINTS = ("<|", ":", "-", "only", "\n\n")
 
 
 def text(c: Column | str) -> Column:
@@ -83,6 +103,26 @@ def clean_spaces(c) -> Column:
     return normalize_spaces(strip_invisible(c))
 
 
+def untidy(c: Column) -> Column:
+    """Whether there may be something for clean_spaces to do but for spaces around the text."""
+    return c.contains("  ") | (c.rlike(NOT_PRINTED) & c.rlike(UNTIDY))
+
+
+def let(c: Column, f) -> Column:
+    """f of a value that is computed once, and only where it is asked for; out of the generated method."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def tidy(c: Column) -> Column:
+    """clean_spaces of a column; a text with nothing to clean is only looked at."""
+    return F.when(untidy(c), let(c, clean_spaces)).otherwise(F.trim(text(c)))
+
+
+def any_in(c: Column, hints) -> Column:
+    """Whether one of the strings is in the text."""
+    return reduce(lambda a, b: a | b, (c.contains(h) for h in hints))
+
+
 def norm_text(c) -> Column:
     return F.lower(normalize_spaces(c))
 
@@ -147,10 +187,12 @@ def is_hard_protected(c) -> Column:
     return (s == "") | s.rlike(ADDRESS) | s.rlike(MATH)
 
 
-def is_protected(c, role: Column | str = "body") -> Column:
-    """Segments that are never translated."""
-    s = clean_spaces(c)
+def protected_role(s: Column, role: Column | str) -> Column:
     r = F.lower(F.coalesce(role if isinstance(role, Column) else F.lit(role), F.lit("body")))
+    return (s == "") | r.isin(*GRAPHIC_ROLES) | (r.isin("header", "footer") & (F.length(s) <= 80)) | (F.length(s) <= 2)
+
+
+def _protected_pattern(s: Column) -> Column:
     formula = F.exists(
         F.regexp_extract_all(s, F.lit(r"\b[A-Za-z0-9]{3,}\b"), F.lit(0)),
         lambda t: t.rlike(FORMULA_TOKEN) & t.rlike(r"[a-z\d]"),
@@ -158,11 +200,7 @@ def is_protected(c, role: Column | str = "body") -> Column:
     toks = F.regexp_extract_all(s, F.lit(r"[A-Za-z][A-Za-z0-9\-]{1,}"), F.lit(0))
     acronyms = F.size(F.filter(toks, lambda t: t.rlike(ACRONYM)))
     return (
-        (s == "")
-        | r.isin(*GRAPHIC_ROLES)
-        | (r.isin("header", "footer") & (F.length(s) <= 80))
-        | (F.length(s) <= 2)
-        | s.rlike(r"^[A-Z]{1,3}$")
+        s.rlike(r"^[A-Z]{1,3}$")
         | s.rlike(ADDRESS)
         | s.rlike(BIBLIOGRAPHY)
         | s.rlike(r"(?U)\[[0-9,\-\s]+\]")
@@ -176,6 +214,18 @@ def is_protected(c, role: Column | str = "body") -> Column:
     )
 
 
+def is_protected(c, role: Column | str = "body") -> Column:
+    """Segments that are never translated."""
+    s = clean_spaces(c)
+    return protected_role(s, role) | _protected_pattern(s)
+
+
+def is_protected_clean(s: Column, low: Column, role: Column | str = "body") -> Column:
+    """is_protected of a column of clean texts, lower-cased in low; the patterns run where one of them may match."""
+    may = s.rlike(MAY_PROTECT) | s.rlike(MAY_BE_FORMULA) | any_in(low, PROTECT_HINTS)
+    return protected_role(s, role) | (may & let(s, _protected_pattern))
+
+
 def is_sentence(c) -> Column:
     """Four words or more, three of letters, and an end mark or five words."""
     s = clean_spaces(c)
@@ -207,10 +257,17 @@ def is_symbol_heavy(c) -> Column:
 
 def is_acceptable_translation(original, translated) -> Column:
     o, t = clean_spaces(original), clean_spaces(translated)
-    n, m = F.length(t), F.length(o)
-    base = F.greatest(F.lit(1), m)
-    free = ~t.rlike(META_WORDS) & (n >= F.floor(base * 0.35)) & (n <= F.floor(base * 3.0))
-    return (t != "") & (n <= F.greatest(F.lit(500), m * 6)) & F.when(is_protected(o), t == o).otherwise(free)
+    return (t != "") & (F.length(t) <= F.greatest(F.lit(500), F.length(o) * 6)) & F.when(is_protected(o), t == o).otherwise(_free_translation(o, t, t.rlike(META_WORDS)))
+
+
+def _free_translation(o: Column, t: Column, meta: Column) -> Column:
+    n, base = F.length(t), F.greatest(F.lit(1), F.length(o))
+    return ~meta & (n >= F.floor(base * 0.35)) & (n <= F.floor(base * 3.0))
+
+
+def is_acceptable_clean(o: Column, t: Column, meta: Column) -> Column:
+    """is_acceptable_translation of clean texts, the original not protected; meta: whether the translation has META_WORDS."""
+    return (t != "") & (F.length(t) <= F.greatest(F.lit(500), F.length(o) * 6)) & _free_translation(o, t, meta)
 
 
 def is_safe_glossary_key(c) -> Column:
@@ -335,10 +392,17 @@ def without_repeats(c) -> Column:
     s = clean_spaces(c)
     parts = sentences(s)
     key = lambda x: F.lower(F.regexp_replace(x, r"(?U)\W+", ""))
-    kept = F.filter(parts, lambda x, i: (i == 0) | (key(x) != key(F.get(parts, F.greatest(i - 1, F.lit(0))))))
+    # Each part beside the key of the one before it; array_join leaves nulls out.
+    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), F.transform(parts, key)), 1, F.size(parts))
+    kept = F.zip_with(parts, before, lambda x, k: F.when(k.isNull() | (key(x) != k), x))
     return F.when(F.size(parts) == 0, s).otherwise(F.array_join(kept, " "))
 
 
+def without_repeats_clean(s: Column) -> Column:
+    """without_repeats of a column of clean texts; a single sentence is its own."""
+    return F.when(s.rlike("[.!?:;] "), let(s, without_repeats)).otherwise(s)
+
+
 # Translation text
 
 
@@ -348,19 +412,47 @@ def sanitize_source(c) -> Column:
     return clean_spaces(_chain(s, [(r"(?U)([A-Za-zÀ-ÿ])-\s+([A-Za-zÀ-ÿ])", "$1$2"), (r"(?U)\s+\.\.\.\s*", " ... ")]))
 
 
+def sanitize_source_clean(s: Column) -> Column:
+    """sanitize_source of clean texts."""
+    return F.when(any_in(s, ("- ", " ...", "·", "’")), let(s, sanitize_source)).otherwise(s)
+
+
+def first_paragraph(translated) -> Column:
+    """The first paragraph of a model's output without leaked instructions."""
+    cut = reduce(lambda s, p: F.trim(F.regexp_replace(s, "(?imU)" + p, "")), LEAKED_INSTRUCTIONS, F.trim(text(translated)))
+    return normalize_spaces(F.split(cut, r"\n{2,}", 2)[0])
+
+
+def first_paragraph_lazy(s: Column, low: Column) -> Column:
+    """first_paragraph of texts, lower-cased in low; the patterns run where one of them may match."""
+    return F.when(untidy(s) | any_in(low, LEAK_HINTS), let(s, first_paragraph)).otherwise(F.trim(text(s)))
+
+
+def _corrupt_length(cut: Column, o: Column) -> Column:
+    return (F.length(cut) < 2) | (F.length(cut) > F.greatest(F.lit(400), F.length(o) * 6))
+
+
 def sanitize_translation(translated, original) -> Column:
     """The first clean paragraph of a model's output; the original if it looks corrupt."""
-    o, t = text(original), F.trim(text(translated))
-    cut = reduce(lambda s, p: F.trim(F.regexp_replace(s, "(?imU)" + p, "")), LEAKED_INSTRUCTIONS, t)
-    cut = normalize_spaces(F.split(cut, r"\n{2,}", 2)[0])
-    bad = (t == "") | (F.length(cut) < 2) | (F.length(cut) > F.greatest(F.lit(400), F.length(o) * 6)) | cut.rlike(CORRUPT_OUTPUT)
-    return F.when(bad, o).otherwise(cut)
+    o, cut = text(original), first_paragraph(translated)
+    return F.when((F.trim(text(translated)) == "") | _corrupt_length(cut, o) | cut.rlike(CORRUPT_OUTPUT), o).otherwise(cut)
+
+
+def sanitize_paragraph(c: Column, o: Column, low: Column) -> Column:
+    """sanitize_translation from first_paragraph; an empty output's paragraph is too short as well. low: the output lower-cased."""
+    corrupt = any_in(low, CORRUPT_HINTS) & c.rlike(CORRUPT_OUTPUT)
+    return F.when(_corrupt_length(c, o) | corrupt, o).otherwise(c)
 
 
 def fix_punctuation(c) -> Column:
     return _chain(text(c), [(r"(?U)\s+([,;:.!?])", "$1"), (r"([!?])\1+", "$1")])
 
 
+def fix_punctuation_clean(s: Column) -> Column:
+    """fix_punctuation of texts; the patterns run where one of them may match."""
+    return F.when(untidy(s) | any_in(s, ("!!", "??", " ,", " ;", " :", " .", " !", " ?")), let(s, fix_punctuation)).otherwise(s)
+
+
 def fix_ligatures(c) -> Column:
     return reduce(lambda s, kv: F.replace(s, F.lit(kv[0]), F.lit(kv[1])), LIGATURE_FIXES.items(), text(c))
 
@@ -379,6 +471,11 @@ def restore_acronyms(original, translated) -> Column:
     return F.when((o == "") | (t == ""), F.when(o != "", o).otherwise(t)).otherwise(fixed)
 
 
+def restore_acronyms_clean(o: Column, t: Column) -> Column:
+    """restore_acronyms of clean texts; one without capitals side by side, or unchanged, has none to restore."""
+    return F.when((t != "") & ((o == t) | ~o.rlike("[A-Z]{2}")), t).otherwise(let(F.struct(o.alias("o"), t.alias("t")), lambda x: restore_acronyms(x["o"], x["t"])))
+
+
 def reinject_spacing(original: Column, translated: Column) -> Column:
     o = text(original)
     return F.concat(F.regexp_extract(o, r"(?U)^(\s+)", 1), text(translated), F.regexp_extract(o, r"(?U)\S(\s+)$", 1))
@@ -392,6 +489,13 @@ def connector_fragment(c) -> Column:
     return F.when(F.size(ws).between(1, 4) & known, F.array_join(F.transform(ws, lambda w: F.element_at(table, w)), " "))
 
 
+def connector_fragment_clean(s: Column) -> Column:
+    """connector_fragment of clean texts; one pattern tells whether the words are connectors."""
+    gap = "[^A-Za-zÀ-ÿ0-9]*"
+    only = rf"^{gap}(?:(?i:{'|'.join(CONNECTORS)})(?![A-Za-zÀ-ÿ0-9'\-]){gap}){{1,4}}$"
+    return F.when(s.rlike(only), let(s, connector_fragment))
+
+
 def swap_header_number(c) -> Column:
     """"Title 12" to "12 Title"."""
     return F.regexp_replace(normalize_spaces(c), r"^(\D.*\S)\s+(\d{1,4})$", "$2 $1")

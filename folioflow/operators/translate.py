@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import language as L
 from ..functions import text as T
@@ -49,9 +49,44 @@ def cascade(*backends: Backend) -> Backend:
     return run
 
 
-def translate_distinct(items: DataFrame, backend: Backend, text: str = "t") -> DataFrame:
+#: For RE2, over texts of Latin-1: what may need the rules of source texts, answers and French style. A text without PLAIN's
+#: finds is clean, and has none of the characters outside Latin-1 that fold to a letter of a pattern.
+PLAIN = T.NOT_PRINTED + "|^ | $|  "
+SOURCE_RULES = "|".join((PLAIN, "[@:/\\[(^=<>±×÷µ]", T.MAY_BE_FORMULA, r"(?i:www\.|et al\.|vol\.|no\.|pp\.|doi|isbn|issn)", r"^.{0,2}$"))
+ANSWER_RULES = "|".join((PLAIN, r"[<:\-]|!!|\?\?|[!?]{2}| [,;.!?]|[.!?;] ", "(?i:only|rule|r[eè]gle|assistant|system|système|im_|traduction|phrase|mot)", "^.?$"))
+NO_WORD = r"[^0-9A-Z_a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+"
+STYLE_RULES = "(?i:" + "|".join(L.LITERAL_HINTS + L.WEAK_HINTS) + ")"
+
+
+def _counted(t: pa.Array, where: pa.Array, pattern: str) -> pa.Array:
+    found = pc.count_substring_regex(t.filter(where), pattern).cast(pa.int32())
+    return pc.replace_with_mask(pa.nulls(len(t), pa.int32()), where, found)
+
+
+def _plain(t: pa.Array, raw: pa.Array, tgt: pa.Array) -> dict[str, pa.Array]:
+    """For texts that come back as they are and that no rule may touch: numbers of words and markers; null for others."""
+    ruled = pc.or_(pc.match_substring_regex(t, f"{SOURCE_RULES}|{ANSWER_RULES}"), pc.match_substring_regex(t, STYLE_RULES))
+    ok = pc.fill_null(pc.and_(pc.equal(t, raw), pc.invert(ruled)), False)
+    ascii_ = pc.and_(ok, pc.fill_null(pc.string_is_ascii(t), False))
+    latin = pc.and_not(ok, ascii_)
+    # RE2's word boundaries are those of ASCII, so other texts are written with two spaces for what is between words.
+    spaced = pc.binary_join_element_wise("", pc.replace_substring_regex(t.filter(latin), NO_WORD, "  "), "", " ")
+    spaced = pc.replace_with_mask(t, latin, spaced)
+
+    def markers(lang: str, where: pa.Array) -> pa.Array:
+        alts = "|".join(L.MARKERS[lang])
+        return pc.coalesce(_counted(t, pc.and_(where, ascii_), rf"(?i)\b(?:{alts})\b"), _counted(spaced, pc.and_(where, latin), f"(?i) (?:{alts}) "))
+
+    tg = pc.if_else(ok, pa.scalar(0, pa.int32()), pa.scalar(None, pa.int32()))
+    for lang in {x for x in pc.unique(tgt).to_pylist() if x in L.MARKERS}:
+        tg = pc.coalesce(markers(lang, pc.fill_null(pc.equal(tgt, lang), False)), tg)
+    return {"__n": _counted(t, ok, T.WORD), "__en": markers("en", ok), "__tg": tg}
+
+
+def translate_distinct(items: DataFrame, backend: Backend, text: str = "t", facts=None, names=()) -> DataFrame:
     """items with `raw`: each distinct (text, src, tgt) goes through the back-end once; null where one is null.
 
+    facts(t, raw, tgt), a function over columns, may add integer columns of these names.
     The window brings equal texts together and numbers them; each takes the answer of its number 1.
     """
     keys = [text, "src", "tgt"]
@@ -68,28 +103,34 @@ def translate_distinct(items: DataFrame, backend: Backend, text: str = "t") -> D
             raw = answers.take(pa.array(np.cumsum(first)))
             last = answers[-1].as_py()
             at = b.schema.get_field_index("__r")
-            yield b.set_column(at, "raw", raw)
+            out = b.set_column(at, "raw", raw)
+            if facts:
+                more = facts(b.column("t"), raw, b.column("tgt"))
+                out = pa.RecordBatch.from_arrays([*out.columns, *[more[k] for k in names]], [*out.schema.names, *names])
+            yield out
 
     numbered = items.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(*keys)))
-    return numbered.mapInArrow(run, StructType([*items.schema, StructField("raw", StringType())]))
-
-
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns; a generator keeps the optimiser from copying them into what uses them."""
-    d = df.withColumn("__c", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
-    return d.select(*df.columns, *[F.col(f"__c.{k}").alias(k) for k in columns])
+    return numbered.mapInArrow(run, StructType([*items.schema, StructField("raw", StringType()), *[StructField(k, IntegerType()) for k in names]]))
 
 
-def _evened(translated, target: Column, rules=()) -> Column:
-    s = T.fix_ligatures(T.clean_spaces(translated))
-    if rules:
-        s = F.when(target == "fr", T.apply_rules(s, rules)).otherwise(s)
-    return T.fix_punctuation(s)
+def _ruled(clean, target: Column, rules=()) -> Column:
+    s = T.fix_ligatures(clean)
+    return F.when(target == "fr", T.apply_rules(s, rules)).otherwise(s) if rules else s
 
 
 def normalized_translation(translated, original, target: Column, rules=()) -> Column:
     """Invisible characters, ligatures, configured rules, punctuation and repeated sentences put right."""
-    return T.without_repeats(_evened(translated, target, rules))
+    return T.without_repeats(T.fix_punctuation(_ruled(T.clean_spaces(translated), target, rules)))
+
+
+def _answer(source: Column, raw: Column, target: Column, rules) -> Column:
+    """The back-end's output put right: normalized_translation with its acronyms restored, step by step over clean texts."""
+    even = lambda s: T.let(T.tidy(s), T.without_repeats_clean)
+    pointed = lambda s: T.let(T.fix_punctuation_clean(s), even)
+    ruled = lambda s: T.let(_ruled(s, target, rules), pointed)
+    restored = lambda s: T.let(T.restore_acronyms_clean(source, s), ruled)
+    clean = lambda s: T.let(T.tidy(s), restored)
+    return T.let(F.lower(raw), lambda low: T.let(T.first_paragraph_lazy(raw, low), lambda cut: T.let(T.sanitize_paragraph(cut, source, low), clean)))
 
 
 def translate(items: DataFrame, glossary: DataFrame, backend: Backend = identity, ident: str = "id", fixes=()) -> DataFrame:
@@ -99,7 +140,12 @@ def translate(items: DataFrame, glossary: DataFrame, backend: Backend = identity
     fragment, a whole-text glossary entry, and the back-end's acceptable answer; else the source text with
     the glossary's terms in it replaced.
     """
-    d = translate_distinct(items.withColumn("__q", T.sanitize_source("t")), backend, "__q")
+    d = items.withColumn("__q", T.let(T.tidy(F.col("t")), T.sanitize_source_clean))
+    facts = ("__n", "__en", "__tg")
+    if fixes:  # rules that may touch any text
+        d = translate_distinct(d, backend, "__q").withColumns({k: F.lit(None).cast("int") for k in facts})
+    else:
+        d = translate_distinct(d, backend, "__q", _plain, facts)
     if glossary.isEmpty():  # nothing to look up: no joins over the items
         d = d.withColumn("__exact", F.lit(None).cast("string")).withColumn("__forced", F.lit(None).cast("string"))
     else:
@@ -108,20 +154,24 @@ def translate(items: DataFrame, glossary: DataFrame, backend: Backend = identity
         rules = G.matching_rules(items, glossary, ident)
         forced = G.replace_terms(items.join(rules.select(ident).distinct(), ident, "left_semi"), rules, ident)
         d = d.join(forced.select(ident, F.col("t").alias("__forced")), ident, "left")
-    # Each text is computed once per row, and what the next step has several times is a column before it.
-    d = _once(d, source=T.clean_spaces("t"))
-    d = _once(d, __protected=T.is_protected("source", F.col("role")), __clean=T.sanitize_translation("raw", "source"))
-    d = _once(d, __restored=T.restore_acronyms("source", "__clean"))
-    d = _once(d, __even=_evened("__restored", F.col("tgt"), fixes))
-    d = _once(d, __model=T.without_repeats("__even"))
-    short = F.when((F.col("src") == "en") & (F.col("tgt") == "fr"), T.connector_fragment("source"))
-    good = T.is_acceptable_translation("source", "__model") & (T.clean_spaces("raw") != "")
+    # Each text is computed once per row, and what the next step has several times is a column or a let before it.
+    # Most texts have nothing to put right: the back-end's pass tells for many, and every step looks for a hint before
+    # its patterns run.
+    known = F.col("__n").isNotNull()
+    source, raw, tgt, role = F.col("source"), F.col("raw"), F.col("tgt"), F.col("role")
+    d = L.once(d, source=F.when(known, F.col("t")).otherwise(T.tidy(F.col("t"))))
+    guarded = T.let(source, lambda s: T.is_protected_clean(s, F.lower(s), role))
+    d = L.once(d, __protected=F.when(known, T.protected_role(source, role)).otherwise(guarded), __model=F.when(known, source).otherwise(_answer(source, T.text(raw), tgt, fixes)))
+    short = F.when((F.col("src") == "en") & (F.col("tgt") == "fr"), T.connector_fragment_clean(source))
+    meta = T.let(F.col("__model"), lambda s: T.any_in(F.lower(s), T.META_HINTS) & s.rlike(T.META_WORDS))
+    good = known | (T.is_acceptable_clean(source, F.col("__model"), meta) & F.coalesce(raw.rlike(T.SAYS), F.lit(False)))
     changed = F.col("__forced").isNotNull() & (T.clean_spaces("__forced") != F.col("source"))
-    stage = F.when(F.col("__protected"), "protected").when(short.isNotNull(), "connector").when(F.col("__exact").isNotNull(), "glossary").when(good, "model").when(changed, "terms").otherwise("source")
-    d = d.withColumn("__short", short).withColumn("stage", stage)
+    d = L.once(d, __short=short, __good=good)
+    stage = F.when(F.col("__protected"), "protected").when(F.col("__short").isNotNull(), "connector").when(F.col("__exact").isNotNull(), "glossary").when(F.col("__good"), "model").when(changed, "terms").otherwise("source")
+    d = L.once(d, stage=stage)
     pick = F.when(F.col("stage") == "connector", F.col("__short")).when(F.col("stage") == "glossary", F.col("__exact")).when(F.col("stage") == "model", F.col("__model")).when(F.col("stage") == "terms", T.clean_spaces("__forced")).otherwise(F.col("source"))
-    d = d.withColumn("translation", pick)
-    d = L.with_quality(d, F.col("source"), F.col("translation"), F.col("role"), F.col("tgt"), F.col("__protected"))
+    d = L.once(d, translation=pick)
+    d = L.with_quality(d, F.col("source"), F.col("translation"), F.col("role"), F.col("tgt"), F.col("__protected"), F.when((F.col("source") == F.col("translation")) & F.col("__n").isNotNull(), F.struct(F.col("__n").alias("n"), F.col("__en").alias("en"), F.col("__tg").alias("tg"))))
     return d.select(ident, "source", "translation", "stage", "score", "flags", "status", L.gate_ok("translation", F.col("tgt"), F.col("src")).alias("gate_ok"))
 
 

@@ -388,3 +388,36 @@ def test_translation_without_joins(spark):
     out = translate.translate(d, spark.createDataFrame([], glossary.SCHEMA))
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.count() == len(rows)
+
+
+def test_translation_hints(spark):
+    """Steps that look for hints first give what the rules give, and plain texts are settled in the back-end's pass."""
+    import pyarrow as pa
+    from folioflow.functions import language as L
+    from folioflow.functions import text as T
+
+    rng = random.Random(5)
+    plain = "the and of for le la des et est thé été édeé a plain word Here mot only rule, l'instant tout à fait grad. in.".split()
+    odd = "www.x CaO CNN [1] (Sm, 1999) a/b x^2 α rule: Règle ſystem système assistant <|im_end|> \n\n !! ... c-ur · ’ ​   ́ İn K - fea- 10 et a nous choisissons cette voie ISBN no. Same! Same!".split(" ")
+    texts = [" ".join(rng.choice(plain if rng.random() < 0.9 else odd) for _ in range(rng.choice((1, 3, 6, 12)))) + rng.choice(("", ".", "!")) for _ in range(300)] + [None, ""]
+    rows = [(n, t, rng.choice(("body", "body", "header", None)), "general", "", "en", rng.choice(("fr", "fr", "de", "en", None))) for n, t in enumerate(texts)]
+    items = spark.createDataFrame(rows, "id int, t string, role string, domain string, subdomain string, src string, tgt string")
+    none = spark.createDataFrame([], glossary.SCHEMA)
+    other = lambda ts, src, tgt: [t if len(t) % 3 == 0 else " ".join(reversed(t.split(" "))) for t in ts]
+    for backend in (translate.identity, other):
+        raw = translate.translate_distinct(items.withColumn("q", T.sanitize_source("t")), backend, "q")
+        got = {r.id: tuple(r)[1:] for r in translate.translate(items, none, backend).drop("gate_ok").collect()}
+        d = raw.withColumn("s", T.clean_spaces("t")).withColumn("p", T.is_protected("s", F.col("role"))).withColumn("m", T.restore_acronyms("s", T.sanitize_translation("raw", "s"))).cache()
+        d = d.withColumn("m", translate.normalized_translation("m", "s", F.col("tgt"))).cache()
+        short = F.when((F.col("src") == "en") & (F.col("tgt") == "fr"), T.connector_fragment("s"))
+        good = T.is_acceptable_translation("s", "m") & (T.clean_spaces("raw") != "")
+        stage = F.when(F.col("p"), "protected").when(short.isNotNull(), "connector").when(good, "model").otherwise("source")
+        d = d.withColumn("stage", stage).withColumn("out", F.when(stage == "connector", short).when(stage == "model", F.col("m")).otherwise(F.col("s"))).cache()
+        q = d.select("id", "s", "out", "stage", L.quality("s", "out", F.col("role"), F.col("tgt"), F.col("p")).alias("q")).select("id", "s", "out", "stage", "q.*")
+        assert got == {r.id: tuple(r)[1:] for r in q.collect()}
+    t = pa.array(texts, pa.string())
+    facts = translate._plain(t, t, pa.array(["fr"] * len(texts)))
+    want = spark.createDataFrame([(t,) for t in texts], "t string").select(T.word_count("t"), L.marker_count("t", "en"), L.marker_count("t", "fr")).collect()
+    seen = [(tuple(w), f) for w, f in zip(want, zip(*(facts[k].to_pylist() for k in ("__n", "__en", "__tg")), strict=True), strict=True) if f != (None, None, None)]
+    assert len(seen) > 20 and all(w == f for w, f in seen)
+    assert any(facts["__n"][n].is_valid and not t.isascii() for n, t in enumerate(texts) if t)
